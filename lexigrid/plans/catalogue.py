@@ -1,6 +1,278 @@
-"""Named queries with their DuckDB equivalents."""
+"""Named queries over the test tables, each with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import permutations
+from ..operators import queries as Q
+from ..operators import windows as W
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+# ---- corpora ------------------------------------------------------------------------------
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.text_words(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation is a document; the end-of-document marker parts its turns."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return W.text_words(turns.select("doc_id", F.concat_ws(" ---END.OF.DOCUMENT--- ", "t.text").alias("text")))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.text_words(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.text_words(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text"))
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part-of-speech lines derived from documents: a token, its document's language as its type, its
+    first four characters as its lemma."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tokens = F.filter(F.split("text", r"\s+"), lambda t: t != "")
+    lines = F.transform(tokens, lambda t: F.concat_ws("\t", t, F.upper("lang"), F.substring(t, 1, 4)))
+    return W.line_words(docs.select("doc_id", lines.alias("lines")))
+
+
+# ---- SQL ----------------------------------------------------------------------------------
+
+_MARKS = {"é": ("e", 769), "ó": ("o", 769), "í": ("i", 769), "á": ("a", 769), "ú": ("u", 769), "è": ("e", 768), "à": ("a", 768), "ñ": ("n", 771), "ç": ("c", 807), "ü": ("u", 776), "ä": ("a", 776), "ö": ("o", 776), "ë": ("e", 776), "ê": ("e", 770), "â": ("a", 770), "î": ("i", 770), "ô": ("o", 770), "û": ("u", 770)}
+
+
+def _nfkd(x: str) -> str:
+    for letter, (plain, mark) in _MARKS.items():
+        x = f"replace({x}, '{letter}', '{plain}' || chr({mark}))"
+    return x
+
+
+_CLEAN = r"regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\-]', '', 'g'), '^-+', '')"
+SOURCES = {
+    "documents": "SELECT doc_id, text FROM documents",
+    "conversations": "SELECT conv_id AS doc_id, string_agg(text, ' ---END.OF.DOCUMENT--- ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id",
+    "pages": "SELECT page_id AS doc_id, html AS text FROM pages",
+    "benchmark": "SELECT item_id AS doc_id, text FROM benchmark",
+}
+
+
+def _words(source: str, where: str = "") -> str:
+    """CTEs up to words: doc_id, seg, pos, w (null words left out), and marked: the same with is_null."""
+    return rf"""WITH src AS ({SOURCES[source]}{where}),
+raw AS (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS tok, generate_subscripts(string_split_regex(text, '\s+'), 1) AS pos FROM src),
+cleaned AS (SELECT doc_id, pos, {_CLEAN.format("tok")} AS c FROM raw),
+marked AS (SELECT doc_id, pos, {_nfkd("c")} AS w, (strlen(c) > 40 OR strlen({_nfkd("c")}) > 40 OR c = 'endofdocument---') AS is_null FROM cleaned WHERE c <> ''),
+segmented AS (SELECT *, sum(is_null::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM marked),
+words AS (SELECT doc_id, seg, pos, w FROM segmented WHERE NOT is_null)"""
+
+
+_TAGGED = rf"""WITH raw AS (SELECT doc_id, upper(lang) AS lang, unnest(string_split_regex(text, '\s+')) AS tok, generate_subscripts(string_split_regex(text, '\s+'), 1) AS pos FROM documents),
+cleaned AS (SELECT doc_id, pos, {_CLEAN.format("tok")} AS i, {_CLEAN.format("lang")} AS c, {_CLEAN.format("substr(tok, 1, 4)")} AS l, regexp_matches(tok, '^[^\p{{L}}<]*<') AS tag FROM raw WHERE tok <> ''),
+marked AS (SELECT doc_id, pos, c || '|' || {_nfkd("l")} || '|' || {_nfkd("i")} AS w, {_nfkd("i")} AS i, c, {_nfkd("l")} AS l,
+  (tag OR strlen({_nfkd("i")}) > 40) AS is_null FROM cleaned WHERE tag OR strlen({_nfkd("i")}) > 40 OR (i <> '' AND l <> '')),
+segmented AS (SELECT *, sum(is_null::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM marked),
+words AS (SELECT doc_id, seg, pos, w, i, c, l FROM segmented WHERE NOT is_null)"""
+
+
+def _at(k: int) -> str:
+    over = "OVER (PARTITION BY doc_id, seg ORDER BY pos)"
+    return "w" if k == 0 else f"lead(w, {k}, '$') {over}" if k > 0 else f"lag(w, {-k}, '$') {over}"
+
+
+def _anchored(n: int, at: int, words: str) -> str:
+    """CTEs up to grams: windows with a word at place ``at``, with frequency."""
+    names = ", ".join(W.columns(n))
+    cells = ", ".join(f"{_at(k - at)} AS w{k}" for k in range(n))
+    return f"{words},\nwins AS (SELECT {cells} FROM words),\ngrams AS (SELECT {names}, CAST(count(*) AS BIGINT) AS frequency FROM wins GROUP BY ALL)"
+
+
+def _query(name: str, sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+_DOCS = _words("documents")
+
+
+# ---- counting -----------------------------------------------------------------------------
+
+_query(
+    "token_count",
+    rf"""{_DOCS.replace("SELECT doc_id, text FROM documents", "SELECT doc_id, text FROM documents")},
+breaks AS (SELECT *, lag(is_null, 1, true) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM marked)
+SELECT lang, CAST(count(*) FILTER (NOT is_null) AS BIGINT) AS words, CAST(count(*) FILTER (is_null) AS BIGINT) AS null_words,
+       CAST(count(*) FILTER (NOT is_null AND after) AS BIGINT) AS segments
+FROM breaks JOIN documents USING (doc_id) GROUP BY lang""",
+)(lambda spark, d: W.token_stats(documents(spark, d), "lang"))
+
+
+def _index(name: str, order: tuple[int, ...], held=documents, source: str = "documents", words: str | None = None):
+    n = len(order)
+    _query(name, f"{_anchored(n, order[0], words or _words(source))}\nSELECT * FROM grams")(lambda spark, d: W.permuted(W.table(held(spark, d), n), order))
+
+
+for _name, _order in {"unigram_freq": (0,), "bigram_freq": (0, 1), "trigram_freq": (0, 1, 2), "by_1_0": (1, 0), "by_2_0_1": (2, 0, 1), "by_1_2_0": (1, 2, 0)}.items():
+    _index(_name, _order)
+_index("conversations_bigram", (0, 1), conversations, "conversations")
+_index("pages_bigram", (0, 1), pages, "pages")
+_index("benchmark_unigram", (0,), benchmark, "benchmark")
+
+_ALL2 = f"{_DOCS},\nwins AS (SELECT w AS w0, {_at(1)} AS w1 FROM words UNION ALL SELECT * FROM (SELECT {_at(-1)} AS w0, w AS w1 FROM words) WHERE w0 = '$'),\ngrams AS (SELECT w0, w1, CAST(count(*) AS BIGINT) AS frequency FROM wins GROUP BY ALL)"
+_query("window_table_2", f"{_ALL2}\nSELECT * FROM grams")(lambda spark, d: W.table(documents(spark, d), 2))
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    held = documents(spark, d)
+    return W.merge(*[W.table(held.where(F.col("lang") == lang), 2) for lang in ("en", "de")])
+
+
+_query("merge_counts", _ALL2.replace("FROM documents)", "FROM documents WHERE lang IN ('en', 'de'))") + "\nSELECT * FROM grams")(_merged)
+
+
+def _per_document(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of each document by itself, merged."""
+    held = documents(spark, d).withColumn("part", F.pmod("doc_id", F.lit(4)))
+    return W.merge(*[W.table(held.where(F.col("part") == k), 2) for k in range(4)])
+
+
+_query("merge_invariance", f"{_ALL2}\nSELECT * FROM grams")(_per_document)
+
+# ---- top-k and search ---------------------------------------------------------------------
+
+for _n in range(1, 5):
+    _by = ", ".join(f"w{k} DESC" for k in range(_n))
+    _query(f"get_top_{_n}", f"{_anchored(_n, 0, _DOCS)}\nSELECT * FROM grams ORDER BY frequency DESC, {_by} LIMIT 200")(lambda spark, d, n=_n: Q.top(W.table(documents(spark, d), n), 200))
+
+_query("inverted_by_1_0", f"{_anchored(2, 1, _DOCS)}\nSELECT * FROM grams")(lambda spark, d: Q.inverted(W.table(documents(spark, d), 2), (1, 0)))
+_query("max_frequency", f"{_anchored(2, 0, _DOCS)}\nSELECT max(frequency) AS max_frequency FROM grams")(lambda spark, d: W.table(documents(spark, d), 2).where("w0 <> '$'").agg(F.max("frequency").alias("max_frequency")))
+
+
+def _search(name: str, pattern: str, at: int, where: str):
+    n = len(pattern.split())
+    _query(name, f"{_anchored(n, at, _DOCS)}\nSELECT * FROM grams WHERE {where}")(lambda spark, d: Q.ranked(Q.search(W.table(documents(spark, d), n), pattern)))
+
+
+_search("search_exact", "the of", 0, "w0 = 'the' AND w1 = 'of'")
+_search("search_wild_mid", "the * of", 0, "w0 = 'the' AND w2 = 'of'")
+_search("search_wild_lead", "* the", 1, "w1 = 'the'")
+_search("search_null", "the $", 0, "w0 = 'the' AND w1 = '$'")
+_search("search_normalised", "The 'OF'", 0, "w0 = 'the' AND w1 = 'of'")
+_query("search_rollup", f"{_anchored(2, 0, _DOCS)}\nSELECT * FROM grams WHERE w0 = 'the'")(lambda spark, d: Q.ranked(Q.search(W.table(documents(spark, d), 4), "the *")))
+
+# ---- entropy and lengths ------------------------------------------------------------------
+
+_H = "CASE WHEN count(*) = 1 THEN 0.0::DOUBLE ELSE log2(sum(frequency)::DOUBLE) - sum(frequency * log2(frequency::DOUBLE)) / sum(frequency)::DOUBLE END"
+_query("entropy_of", f"{_anchored(2, 0, _DOCS)}\nSELECT round({_H}, 6) AS entropy FROM grams WHERE w0 = 'the'")(
+    lambda spark, d: Q.entropy_of(Q.search(W.table(documents(spark, d), 2), "the *")).select(F.round("entropy", 6).alias("entropy"))
+)
+
+
+def _entropy_parts(pattern: str) -> tuple[int, list[int], int]:
+    places = pattern.split()
+    known = [k for k, p in enumerate(places) if p == "="]
+    return len(places), known, permutations.anchor(known, len(places))
+
+
+def _entropy_rows(pattern: str) -> str:
+    n, known, at = _entropy_parts(pattern)
+    names = ", ".join(f"w{k}" for k in known)
+    return f"{_anchored(n, at, _DOCS)},\nh AS (SELECT {names}, {_H} AS entropy, CAST(sum(frequency) AS BIGINT) AS frequency, CAST(count(*) AS BIGINT) AS n_completions FROM grams GROUP BY {names})"
+
+
+def _entropy_index(name: str, pattern: str):
+    n, known, _ = _entropy_parts(pattern)
+    names = ", ".join(f"w{k}" for k in known)
+    _query(name, f"{_entropy_rows(pattern)}\nSELECT {names}, round(entropy, 6) AS entropy, frequency, n_completions FROM h")(
+        lambda spark, d: Q.entropy_index(W.table(documents(spark, d), n), pattern).withColumn("entropy", F.round("entropy", 6))
+    )
+
+
+for _name, _pattern in {"10": "= *", "01": "* =", "100": "= * *", "101": "= * =", "110": "= = *"}.items():
+    _entropy_index(f"entropy_index_{_name}", _pattern)
+
+
+def _entropy_top(name: str, pattern: str, order: str, k: int, least: int):
+    n, known, _ = _entropy_parts(pattern)
+    cells = ", ".join(f"w{c}" if c in known else f"'*' AS w{c}" for c in range(n))
+    _query(name, f"{_entropy_rows(pattern)}\nSELECT {cells}, round(entropy, 6) AS entropy FROM (SELECT * FROM h WHERE NOT (entropy = 0 AND frequency < {least}) ORDER BY entropy, {order} LIMIT {k})")(
+        lambda spark, d: Q.entropy_top(W.table(documents(spark, d), n), pattern, k, least).withColumn("entropy", F.round("entropy", 6))
+    )
+
+
+_entropy_top("entropy_top_10", "= *", "w0", 50, 3)
+_entropy_top("entropy_top_101", "= * =", "w2, w0", 50, 3)
+_query("entropy_stats_10", f"{_entropy_rows('= *')}\nSELECT round(entropy * 1000) / 1000 AS entropy, CAST(count(*) AS BIGINT) AS n FROM h GROUP BY 1")(lambda spark, d: Q.entropy_stats(W.table(documents(spark, d), 2), "= *"))
+
+for _n in range(1, 4):
+    _cat = " || chr(9) || ".join(W.columns(_n))
+    _query(
+        f"wordlength_{_n}",
+        f"""{_anchored(_n, 0, _DOCS)},
+found AS (SELECT strlen({_cat}) AS length, sum(frequency) AS frequency FROM grams GROUP BY 1)
+SELECT r.length, CAST(coalesce(f.frequency, 0) AS BIGINT) AS frequency FROM (SELECT unnest(range(1, {42 * _n})) AS length) r LEFT JOIN found f USING (length)""",
+    )(lambda spark, d, n=_n: Q.lengths(W.table(documents(spark, d), n)))
+
+# ---- parts of speech ----------------------------------------------------------------------
+
+_TRIPLES = f"{_TAGGED}\nSELECT c AS classification, l AS lemma, i AS inflexion, CAST(count(*) AS BIGINT) AS frequency FROM words GROUP BY ALL"
+_query("vocab_triples", _TRIPLES)(lambda spark, d: W.vocabulary(tagged(spark, d)))
+_query("supplement_c_l_i", _TRIPLES)(lambda spark, d: W.vocabulary(tagged(spark, d)).orderBy("classification", "lemma", "inflexion"))
+_index("pos_bigram", (0, 1), tagged, words=_TAGGED)
+
+
+def _pos_search(name: str, pattern: str, at: int, where: str):
+    n = len(pattern.split())
+    _query(name, f"{_anchored(n, at, _TAGGED)}\nSELECT * FROM grams WHERE {where}")(lambda spark, d: Q.ranked(Q.search(W.table(tagged(spark, d), n), pattern, pos=True)))
+
+
+_pos_search("pos_search_lemma", "[*|the|*]", 0, "split_part(w0, '|', 2) = 'the'")
+_pos_search("pos_search_partial", "[en|*|the] [en|of|*]", 0, "w0 LIKE 'en|%|the' AND split_part(w0, '|', 3) = 'the' AND w1 LIKE 'en|of|%'")
+_pos_search("pos_search_exact", "[en|the|the] *", 0, "w0 = 'en|the|the'")
+_query("pos_regroup", f"{_anchored(2, 0, _TAGGED)}\nSELECT split_part(w0, '|', 3) AS w0, w1, CAST(sum(frequency) AS BIGINT) AS frequency FROM grams WHERE split_part(w0, '|', 3) = 'the' AND w1 LIKE 'en|of|%' GROUP BY 1, 2")(
+    lambda spark, d: Q.regrouped(Q.search(W.table(tagged(spark, d), 2), "the [en|of|*]", pos=True), "the [en|of|*]")
+)
+
+# ---- catalogue and checks -----------------------------------------------------------------
+
+_COMBOS = ", ".join(f"({n}, {k}, '{'_'.join(map(str, o))}')" for n in range(1, 7) for k, o in enumerate(permutations.orders(n)))
+_query("index_combinations", f"SELECT * FROM (VALUES {_COMBOS}) t(n, ordinal, permutation)")(lambda spark, d: permutations.table(spark, 6))
+
+
+def _catalog(spark: SparkSession, d: str) -> DataFrame:
+    held = documents(spark, d)
+    rows = [W.table(held, n).agg(F.lit(n).alias("n"), F.count("*").alias("rows"), F.sum(F.when(F.col("w0") != "$", F.col("frequency"))).alias("numwords")) for n in (1, 2)]
+    return rows[0].unionByName(rows[1])
+
+
+_query(
+    "catalog",
+    f"""{_ALL2} SELECT 1 AS n, CAST(count(DISTINCT w) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS numwords FROM words
+UNION ALL SELECT 2, (SELECT count(*) FROM grams), (SELECT CAST(sum(frequency) AS BIGINT) FROM grams WHERE w0 <> '$')""",
+)(_catalog)
+
+
+def _sorted_check(spark: SparkSession, d: str) -> DataFrame:
+    held = W.permuted(W.table(documents(spark, d), 2), (0, 1)).orderBy("w0", "w1")
+    return W.unsorted_rows(held.withColumn("row", F.monotonically_increasing_id()), ["w0", "w1"])
+
+
+_query("sorted_check", "SELECT CAST(0 AS BIGINT) AS violations")(_sorted_check)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty most frequent trigrams."""
+    return Q.top(W.table(documents(spark, sf_dir), 3), 20)
