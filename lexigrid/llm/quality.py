@@ -65,7 +65,7 @@ def _texts(text: str) -> tuple[float, ...]:
 
 def statistics(texts: pa.Array) -> np.ndarray:
     """A row of NAMES for each text."""
-    texts = texts.fill_null("").cast(pa.large_string())
+    texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
     starts, lengths = offsets[:-1] - (offsets[0] if len(offsets) else 0), np.diff(offsets)
