@@ -1,19 +1,22 @@
 """N-gram Jaccard join by vertical partitioning (DataFrame functions only).
 
-1. Every document becomes a set of keys: 58 bits of each shingle's hash below 4 bits of rarity.
-   Sorted keys are the global order, rare shingles first. Rarity comes from counts of all shingles
-   in 2**17 buckets: how far a bucket lies above what evenly spread shingles would give it.
+1. Every document becomes a set of keys: 52 bits of each shingle's hash below 10 bits of rarity.
+   Sorted keys are the global order, rare shingles first. Rarity comes, first, from counts of all
+   shingles in 2**17 buckets (how far a bucket lies above what evenly spread shingles would give
+   it: passages that many documents share) and, second, from counts of all words in 2**15 buckets,
+   whose logarithms add up over the three words. The order decides how much work there is, never
+   which pairs are found.
 2. Documents with equal sets form a class; from here on only classes are compared.
-3. Classes that share a key in their prefixes (the rarest part, long enough that no pair over the
-   threshold can miss) become candidate pairs.
+3. Classes that share keys in their prefixes (the rarest part, long enough that no pair over the
+   threshold can miss), and enough of them for the threshold, become candidate pairs.
 4. The global order is cut into fragments. Pairs are laid into blocks of a bounded number of
    documents; each (block, fragment) counts the partial overlaps of its pairs by itself, and the
    partial counts are summed per pair and compared with the threshold.
 5. Connected components follow from labels that are lowered along links until nothing changes.
 
 No pair of documents is made that doesn't share a rare shingle, and copies never are: they are
-counted by class. Keys of 58 bits stand for shingles; two different shingles of one pair of
-documents meet in a key with a probability below 1e-11 for documents of 1,000 words.
+counted by class. Keys of 62 bits stand for shingles; two different shingles of one pair of
+documents meet in a key with a probability below 1e-9 for documents of 1,000 words.
 
 Defined results: a null, empty or blank text has no shingles, is linked with nothing and is its own
 component; a text of one or two words has one shingle; a row with a null doc_id counts as a copy
@@ -31,10 +34,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKET_BITS, HASH_BITS = 17, 58
+SHINGLE_BUCKETS, WORD_BUCKETS = 17, 15  # bits
+HASH_BITS, WORD_BITS = 52, 6
+RANK_AT = HASH_BITS + WORD_BITS
 #: Classes that share a block side, about; the global order is cut into 2**FRAGMENT_BITS fragments.
 BLOCK, FRAGMENT_BITS = 128, 2
 SALTS = 16
+#: Rows of up to four numbers that may be broadcast: 32 MB at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def _once(c: Column) -> Column:
@@ -43,75 +50,99 @@ def _once(c: Column) -> Column:
     return F.explode_outer(F.array(c))
 
 
-def shingles(docs: DataFrame) -> DataFrame:
-    """doc_id, h: the hashes of the distinct 3-word shingles (none for texts without words)."""
-    split = docs.select("doc_id", _once(F.coalesce(common.words(F.col("text"), lower=True), F.array().cast("array<string>"))).alias("w"))
-    w, n = F.col("w"), F.size("w")
-    three = F.transform(F.slice(w, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    whole = F.when(n > 0, F.array(F.xxhash64(F.lit("short"), n, F.get(w, F.lit(0)), F.get(w, F.lit(1))))).otherwise(F.array().cast("array<bigint>"))
-    return split.select("doc_id", _once(F.array_distinct(F.when(n >= 3, three).otherwise(whole))).alias("h"))
+def hashed_words(docs: DataFrame) -> DataFrame:
+    """doc_id, w: the hashes of the words of each text, in order."""
+    words = F.coalesce(common.words(F.col("text"), lower=True), F.array().cast("array<string>"))
+    return docs.select("doc_id", _once(F.transform(words, lambda x: F.xxhash64(x))).alias("w"))
 
 
-def rarity(hashed: DataFrame) -> list[int]:
-    """Ranks 0 (rare) to 15 of all buckets, 16 to a long: always 2**13 numbers.
+def ranks(values: DataFrame, bits: int) -> list[int]:
+    """Ranks 0 (rare) to 15 of 2**bits buckets of the longs ``v``, 16 ranks to a long.
 
     Rank 0 is what lies within six standard deviations above the median bucket; each further rank
     doubles the excess.
     """
-    counts = hashed.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND((1 << BUCKET_BITS) - 1).alias("bucket")).agg(F.count("*").alias("n"))
-    per = {r.bucket: r.n for r in counts.collect()}  # at most 2**17 rows
-    values = sorted([*per.values(), *[0] * ((1 << BUCKET_BITS) - len(per))])
-    usual = values[len(values) // 2]
+    counts = values.groupBy(F.col("v").bitwiseAND((1 << bits) - 1).alias("bucket")).agg(F.count("*").alias("n"))
+    per = {r.bucket: r.n for r in counts.where("bucket IS NOT NULL").collect()}  # at most 2**bits rows
+    spread_out = sorted([*per.values(), *[0] * ((1 << bits) - len(per))])
+    usual = spread_out[len(spread_out) // 2]
     spread = 6 * math.sqrt(max(usual, 1))
-    packed = [0] * ((1 << BUCKET_BITS) // 16)
+    packed = [0] * ((1 << bits) // 16)
     for bucket, n in per.items():
         if n - usual > spread:
-            rank = min(15, 1 + int(math.log2((n - usual) / spread)))
-            packed[bucket // 16] |= rank << 4 * (bucket % 16)
+            packed[bucket // 16] |= min(15, 1 + int(math.log2((n - usual) / spread))) << 4 * (bucket % 16)
     return [x - (1 << 64) if x >> 63 else x for x in packed]
 
 
-def keyed(hashed: DataFrame, ranks: list[int]) -> DataFrame:
+def _rank(table: list[int], bits: int):
+    """The rank of a long by ``table``, as a function of Columns."""
+    packed = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded into one literal
+
+    def of(v: Column) -> Column:
+        bucket = v.bitwiseAND((1 << bits) - 1)
+        place = F.get(packed, F.shiftright(bucket, 4).cast("int"))
+        # a shift by a column exists in SQL only
+        return F.call_function("shiftrightunsigned", place, (F.lit(4) * bucket.bitwiseAND(15)).cast("int")).bitwiseAND(15)
+
+    return of
+
+
+def shingles(docs: DataFrame, word_ranks: list[int]) -> DataFrame:
+    """doc_id, h: the distinct 3-word shingles (none for texts without words), as HASH_BITS of hash
+    below WORD_BITS that add up the ranks of the words."""
+    rank = _rank(word_ranks, WORD_BUCKETS)
+    each = hashed_words(docs).select("doc_id", _once(F.transform("w", lambda x: F.struct(x.alias("h"), rank(x).alias("r")))).alias("w"))
+    w, n = F.col("w"), F.size("w")
+    known = lambda h, r: F.shiftleft(r, HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
+    at = lambda i: F.get(w, i)
+    three = F.transform(F.slice(w, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda x, i: known(F.xxhash64(x["h"], at(i + 1)["h"], at(i + 2)["h"]), x["r"] + at(i + 1)["r"] + at(i + 2)["r"]))
+    whole = F.when(n > 0, F.array(known(F.xxhash64(F.lit("short"), n, at(F.lit(0))["h"], at(F.lit(1))["h"]), F.lit(0).cast("long")))).otherwise(F.array().cast("array<bigint>"))
+    return each.select("doc_id", _once(F.array_distinct(F.when(n >= 3, three).otherwise(whole))).alias("h"))
+
+
+def keyed(hashed: DataFrame, shingle_ranks: list[int]) -> DataFrame:
     """doc_id, keys: the sorted keys of each document."""
-    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # folded into one literal
-    bucket = lambda h: h.bitwiseAND((1 << BUCKET_BITS) - 1)
-    place = lambda h: F.get(table, F.shiftright(bucket(h), 4).cast("int"))
-    # a shift by a column exists in SQL only
-    rank = lambda h: F.call_function("shiftrightunsigned", place(h), (F.lit(4) * bucket(h).bitwiseAND(15)).cast("int")).bitwiseAND(15)
-    key = lambda h: F.shiftleft(rank(h), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
-    return hashed.select("doc_id", _once(F.sort_array(F.transform("h", key))).alias("keys"))
+    rank = _rank(shingle_ranks, SHINGLE_BUCKETS)
+    return hashed.select("doc_id", _once(F.sort_array(F.transform("h", lambda h: F.shiftleft(rank(h), RANK_AT).bitwiseOR(h)))).alias("keys"))
 
 
 def _ceil(a: Column, num: int, den: int) -> Column:
     return F.floor((a * num + (den - 1)) / den).cast("int")
 
 
-def classes(docs: DataFrame, ranks: list[int], percent: int, folder: str) -> DataFrame:
+def classes(keys: DataFrame, percent: int, folder: str) -> DataFrame:
     """doc_id, n, h1, h2, prefix: h1 and h2 name a set of keys, prefix is what it is found by."""
     n = F.col("n")
-    rows = keyed(shingles(docs), ranks).select("doc_id", "keys", F.size("keys").alias("n"))
+    rows = keys.select("doc_id", "keys", F.size("keys").alias("n"))
     rows = rows.select("doc_id", "n", F.xxhash64(F.lit(1), "keys").alias("h1"), F.xxhash64(F.lit(2), "keys").alias("h2"), F.when(n > 0, F.slice("keys", F.lit(1), n - _ceil(n, percent, 100) + 1)).alias("prefix"))
     return common.table(rows, folder, "classes")
 
 
+def _beside(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """``df``, written, and marked for broadcast when it has at most BROADCAST_ROWS rows of a few
+    numbers each; with more it is joined by a shuffle."""
+    small = common.table(df, folder, name)
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """a, b, na, nb: pairs of classes that share a key in their prefixes and whose sizes allow a link.
+    """a, b, na, nb: pairs of classes whose sizes and prefixes allow a link.
 
-    The smaller set of a pair needs a shorter prefix: it must share 2t/(1+t) of its keys.
-    """
-    n = F.col("n")
-    short = n - _ceil(n, 2 * percent, 100 + percent) + 1
-    keys = reps.select("rep", "n", short.alias("short"), F.posexplode("prefix").alias("pos", "key"))
-    # what the smaller side offers: its size, or too large a one where the key lies beyond its shorter prefix
-    keys = keys.select("key", "rep", "n", F.when(F.col("pos") < F.col("short"), F.col("n")).otherwise(F.lit(2**31 - 1)).alias("offer"))
+    The common keys c of two prefixes are all common keys up to the end of the prefix that ends
+    first. So the sets have at most c and the rest of that one in common, which must reach t/(1+t) of
+    both sizes; a pair that only shares some frequent shingles ends here."""
+    keys = reps.select("rep", "n", F.explode("prefix").alias("key"))
     a, b = keys.alias("a"), keys.alias("b")
-    ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))
+    ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))  # rows of a repeated id are one class
     fits = F.col("a.n") * 100 >= F.col("b.n") * percent
-    pairs = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.offer") <= F.col("b.n")) & ordered & fits)
-    return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
+    pairs = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & ordered & fits)
+    pairs = pairs.groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("c"))
+    rest = lambda n: _ceil(n, percent, 100) - 1
+    most = F.col("c") + F.greatest(rest(F.col("na")), rest(F.col("nb")))
+    return pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b", "na", "nb")
 
 
-def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+def overlaps(pairs: DataFrame, segments: DataFrame, folder: str) -> DataFrame:
     """a, b, na, nb, common for ``pairs``, from ``segments`` (rep, fragment, seg)."""
     seen = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc"), F.col("b").alias("o")), F.struct(F.col("b").alias("doc"), F.col("a").alias("o")))).alias("x")).select("x.*")
     near = seen.groupBy("doc").agg(F.least(F.col("doc"), F.min("o")).alias("g"))
@@ -119,8 +150,8 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     size = grouped.select("g", F.explode(F.array("a", "b")).alias("doc")).distinct().groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("sides"))
     side = lambda c: F.pmod(F.xxhash64(c), F.col("sides"))
     placed = grouped.join(size, "g").select("a", "b", "na", "nb", F.xxhash64("g", side("a"), side("b")).alias("block"))
-    members = placed.select("block", F.explode(F.array("a", "b")).alias("rep")).distinct()
-    held = members.join(segments, "rep").groupBy("block", "fragment").agg(F.collect_list(F.struct("rep", "seg")).alias("held"))
+    members = _beside(placed.select("block", F.explode(F.array("a", "b")).alias("rep")).distinct(), folder, "members")
+    held = segments.join(members, "rep").groupBy("block", "fragment").agg(F.collect_list(F.struct("rep", "seg")).alias("held"))
     held = held.select("block", F.col("held.rep").alias("reps"), F.col("held.seg").alias("segs"))
     wanted = placed.groupBy("block").agg(F.collect_list(F.struct("a", "b", "na", "nb")).alias("wanted"))
     at = lambda x: F.array_position("reps", x).cast("int")
@@ -153,24 +184,26 @@ def join(docs: DataFrame, *, percent: int = 70) -> DataFrame:
     are linked when 100 * common >= percent * united."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder = common.shared_dir(docs.sparkSession, "jaccard")
-    ranks = rarity(shingles(docs))
-    rows = classes(docs, ranks, percent, folder)
+    words = ranks(hashed_words(docs).select(F.explode_outer("w").alias("v")), WORD_BUCKETS)
+    found = ranks(shingles(docs, words).select(F.explode_outer("h").alias("v")), SHINGLE_BUCKETS)
+    rows = classes(keyed(shingles(docs, words), found), percent, folder)
     # a class is named by its smallest document; min skips null ids
     groups = common.table(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("members"), F.first("n").alias("n")), folder, "groups")
     ids = groups.where("first IS NOT NULL")
-    reps = rows.join(ids.select(F.col("first").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
     rep = F.xxhash64("h1", "h2")  # repeated ids may name two classes, so classes have a name of their own
+    leads = _beside(ids.select(F.col("first").alias("doc_id"), "h1", "h2"), folder, "leads")
+    reps = rows.where("n > 0").join(leads, ["doc_id", "h1", "h2"], "left_semi")
     pairs = common.table(candidates(reps.select(rep.alias("rep"), "n", "prefix"), percent), folder, "pairs")
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = docs.join(ids.select(F.col("first").alias("doc_id"), rep.alias("rep")).join(needed, "rep"), "doc_id")
-    again = keyed(shingles(texts.select(F.struct("doc_id", "rep").alias("doc_id"), "text")), ranks)
+    texts = docs.join(_beside(ids.select(F.col("first").alias("doc_id"), rep.alias("rep")).join(needed, "rep"), folder, "needed"), "doc_id")
+    again = keyed(shingles(texts.select(F.struct("doc_id", "rep").alias("doc_id"), "text"), words), found)
     # of the rows of a repeated id, that of the class
     again = again.where(F.xxhash64(F.xxhash64(F.lit(1), "keys"), F.xxhash64(F.lit(2), "keys")) == F.col("doc_id.rep")).select(F.col("doc_id.rep").alias("rep"), "keys")
-    fragment = lambda key: F.least(F.shiftright(key, HASH_BITS - FRAGMENT_BITS), F.lit(2**FRAGMENT_BITS - 1))
+    fragment = lambda key: F.least(F.shiftright(key, RANK_AT - FRAGMENT_BITS), F.lit(2**FRAGMENT_BITS - 1))
     cut = lambda f: F.struct(F.lit(f).alias("fragment"), F.filter("keys", lambda key: fragment(key) == f).alias("seg"))
-    segments = again.select("rep", F.explode(F.array(*[cut(f) for f in range(2**FRAGMENT_BITS)])).alias("s")).select("rep", "s.fragment", "s.seg").dropDuplicates(["rep", "fragment"])
-    linked = overlaps(pairs, segments).where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
+    segments = again.select("rep", F.explode(F.array(*[cut(f) for f in range(2**FRAGMENT_BITS)])).alias("s")).select("rep", "s.fragment", "s.seg")
+    linked = overlaps(pairs, segments, folder).where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
     links = common.table(linked.select("a", "b"), folder, "linked")
 
     named = ids.select(rep.alias("v"), "first", "members")
