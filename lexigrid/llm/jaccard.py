@@ -38,7 +38,7 @@ SHINGLE_BUCKETS, WORD_BUCKETS = 17, 15  # bits
 HASH_BITS, WORD_BITS = 52, 6
 RANK_AT = HASH_BITS + WORD_BITS
 #: Classes that share a block side, about; the global order is cut into 2**FRAGMENT_BITS fragments.
-BLOCK, FRAGMENT_BITS = 128, 2
+BLOCK, FRAGMENT_BITS = 512, 2
 SALTS = 16
 #: Rows of up to four numbers that may be broadcast: 32 MB at most.
 BROADCAST_ROWS = 1_000_000
@@ -59,14 +59,14 @@ def hashed_words(docs: DataFrame) -> DataFrame:
 def ranks(values: DataFrame, bits: int) -> list[int]:
     """Ranks 0 (rare) to 15 of 2**bits buckets of the longs ``v``, 16 ranks to a long.
 
-    Rank 0 is what lies within six standard deviations above the median bucket; each further rank
-    doubles the excess.
+    Rank 0 is what lies within two standard deviations above the median bucket; each further rank
+    doubles the excess. A rare value that happens to lie in a full bucket only comes later in the order.
     """
     counts = values.groupBy(F.col("v").bitwiseAND((1 << bits) - 1).alias("bucket")).agg(F.count("*").alias("n"))
     per = {r.bucket: r.n for r in counts.where("bucket IS NOT NULL").collect()}  # at most 2**bits rows
     spread_out = sorted([*per.values(), *[0] * ((1 << bits) - len(per))])
     usual = spread_out[len(spread_out) // 2]
-    spread = 6 * math.sqrt(max(usual, 1))
+    spread = 2 * math.sqrt(max(usual, 1))
     packed = [0] * ((1 << bits) // 16)
     for bucket, n in per.items():
         if n - usual > spread:
