@@ -7,16 +7,22 @@
    whose logarithms add up over the three words. The order decides how much work there is, never
    which pairs are found.
 2. Documents with equal sets form a class; from here on only classes are compared.
-3. Classes that share keys in their prefixes (the rarest part, long enough that no pair over the
-   threshold can miss), and enough of them for the threshold, become candidate pairs.
-4. The global order is cut into fragments. Pairs are laid into blocks of a bounded number of
-   documents; each (block, fragment) counts the partial overlaps of its pairs by itself, and the
-   partial counts are summed per pair and compared with the threshold.
-5. Connected components follow from labels that are lowered along links until nothing changes.
-
-No pair of documents is made that doesn't share a rare shingle, and copies never are: they are
-counted by class. Keys of 62 bits stand for shingles; two different shingles of one pair of
-documents meet in a key with a probability below 1e-9 for documents of 1,000 words.
+3. The first fragment of the order, as it falls into each class, is its head: some n - ceil(t n) + k
+   keys, long enough that linked classes have at least k of the smaller one's in common there. How
+   many heads hold a key is counted exactly; a key that one head holds is dropped, and so is a
+   class with fewer than the least k keys left, which is nearly every class without a near copy.
+4. The rest of each head is ordered anew, by that count, and a prefix of it makes candidate pairs.
+   A pair is named at its first common key: a later one is passed over when the two have one of
+   the four keys before it in common too, so near copies don't meet once for each passage.
+5. The whole global order is cut into fragments of about equal weight. Pairs are laid into blocks
+   of a bounded number of classes; each (block, fragment) counts the partial overlaps of its pairs
+   by itself, and the partial counts are summed per pair and compared with the threshold.
+6. Connected components follow from labels that are lowered along links until nothing changes.
+
+A key in a bucket that stands out is not counted per head (its rank stands for its count), so no task
+gathers one that a third of all documents hold. Copies are counted by class and never paired.
+Keys of 62 bits stand for shingles, 31 bits for the keys before one; two different ones of one pair of
+documents meet with a probability below 1e-8 for documents of 1,000 words.
 
 Defined results: a null, empty or blank text has no shingles, is linked with nothing and is its own
 component; a text of one or two words has one shingle; a row with a null doc_id counts as a copy
@@ -29,7 +35,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,8 +46,10 @@ RANK_AT = HASH_BITS + WORD_BITS
 #: Classes that share a block side, about; the global order is cut into 2**FRAGMENT_BITS fragments.
 BLOCK, FRAGMENT_BITS = 512, 2
 SALTS = 16
-#: Rows of up to four numbers that may be broadcast: 32 MB at most.
-BROADCAST_ROWS = 1_000_000
+#: Of 100 keys of a set, so many more than the prefix of one common key asks for go into its head.
+EXTRA = 10
+#: What may be broadcast, as hashed rows of numbers.
+BROADCAST_BYTES = 32 << 20
 
 
 def _once(c: Column) -> Column:
@@ -110,36 +118,86 @@ def _ceil(a: Column, num: int, den: int) -> Column:
     return F.floor((a * num + (den - 1)) / den).cast("int")
 
 
+def _common(n: Column, percent: int) -> Column:
+    """Keys that a head reaches beyond a prefix of one common key: those that a linked set of at least this size shares in the heads."""
+    return F.least(F.floor(n * EXTRA / 100).cast("int") + 1, _ceil(n, percent, 100))
+
+
+def _rest(n: Column, percent: int) -> Column:
+    """How many keys of a set lie behind its head."""
+    return _ceil(n, percent, 100) - _common(n, percent)
+
+
 def classes(keys: DataFrame, percent: int, folder: str) -> DataFrame:
-    """doc_id, n, h1, h2, prefix: h1 and h2 name a set of keys, prefix is what it is found by."""
+    """doc_id, n, h1, h2, head: h1 and h2 name a set of keys, head is what it is found by."""
     n = F.col("n")
     rows = keys.select("doc_id", "keys", F.size("keys").alias("n"))
-    rows = rows.select("doc_id", "n", F.xxhash64(F.lit(1), "keys").alias("h1"), F.xxhash64(F.lit(2), "keys").alias("h2"), F.when(n > 0, F.slice("keys", F.lit(1), n - _ceil(n, percent, 100) + 1)).alias("prefix"))
+    rows = rows.select("doc_id", "n", F.xxhash64(F.lit(1), "keys").alias("h1"), F.xxhash64(F.lit(2), "keys").alias("h2"), F.when(n > 0, F.slice("keys", F.lit(1), n - _rest(n, percent))).alias("head"))
     return common.table(rows, folder, "classes")
 
 
 def _beside(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """``df``, written, and marked for broadcast when it has at most BROADCAST_ROWS rows of a few
-    numbers each; with more it is joined by a shuffle."""
+    """``df`` (numbers), written, and marked for broadcast when its hashed rows take at most
+    BROADCAST_BYTES; with more it is joined by a shuffle."""
     small = common.table(df, folder, name)
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+    return F.broadcast(small) if small.count() * (32 + 16 * len(small.columns)) <= BROADCAST_BYTES else small
+
+
+def heads(reps: DataFrame, percent: int, folder: str) -> DataFrame:
+    """rep, n, m, first: of each class that may be linked at all, how many keys of its head (m) are held by
+    other heads too, and the prefix of these that makes candidates, by how many hold them.
+
+    ``reps``: rep, n, head. A class is linked with sets of at least ceil(t n) keys only, so it has
+    the least ``_common`` of these in common; ordering those m keys anew, a common one is among the
+    first m - least + 1."""
+    cold = lambda key: F.shiftright(key, RANK_AT) == 0
+    each = reps.select("rep", F.explode(F.filter("head", cold)).alias("key"))
+    held = each.withColumn("f", F.count("*").over(Window.partitionBy("key"))).where("f > 1")
+    place = F.struct(F.col("f").alias("o"), "key")
+    alive = held.groupBy("rep").agg(F.collect_set(place).alias("cold"))
+    hot = F.transform(F.filter("head", lambda key: ~cold(key)), lambda key: F.struct((F.shiftright(key, RANK_AT) + F.lit(1 << 48)).alias("o"), key.alias("key")))
+    # rows of a repeated id are one class
+    own = reps.select("rep", "n", hot.alias("hot")).groupBy("rep").agg(F.first("n").alias("n"), F.first("hot").alias("hot"))
+    both = own.join(alive, "rep", "left").withColumn("keys", F.when(F.col("cold").isNull(), F.col("hot")).otherwise(F.concat("cold", "hot")))
+    least = _common(_ceil(F.col("n"), percent, 100), percent)
+    m = F.size("keys")
+    both = both.where(m >= least).select("rep", "n", m.alias("m"), least.alias("least"), F.array_sort("keys").alias("keys"))
+    return common.table(both.select("rep", "n", "m", F.slice(F.col("keys.key"), F.lit(1), F.col("m") - F.col("least") + 1).alias("first")), folder, "heads")
+
+
+def candidates(found: DataFrame, percent: int) -> DataFrame:
+    """a, b, na, nb: pairs of classes of ``heads`` whose sizes and prefixes allow a link.
+
+    Both heads together must share what a link takes beyond the longer rest. From a pair's first common
+    key on there must be that many keys in both; at later common keys it may fail, since the
+    first has named the pair."""
+    small = lambda i: F.get("first", i).bitwiseAND(0x7FFFFFFF).cast("int")
+    entry = F.transform("first", lambda key, i: F.struct(key.alias("key"), (F.col("m") - i).alias("left"), *[F.when(i >= p, small(i - p)).alias(f"p{p}") for p in range(1, 5)]))
+    entries = found.select("rep", "n", F.explode(entry).alias("e")).select("rep", "n", "e.*")
+    a, b = entries.alias("a"), entries.alias("b")
+    ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))
+    fits = F.col("a.n") * 100 >= F.col("b.n") * percent
+    wanted = _ceil(F.col("a.n") + F.col("b.n"), percent, 100 + percent) - F.greatest(_rest(F.col("a.n"), percent), _rest(F.col("b.n"), percent))
+    reach = F.least("a.left", "b.left") >= wanted
+    named = F.lit(False)
+    for p in range(1, 5):
+        named = named | F.col(f"a.p{p}").isin(*[F.col(f"b.p{q}") for q in range(1, 5)])
+    pairs = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & ordered & fits & reach & ~F.coalesce(named, F.lit(False)))
+    return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
 
 
-def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """a, b, na, nb: pairs of classes whose sizes and prefixes allow a link.
+def edges(sets: DataFrame) -> list[int]:
+    """Where the global order is cut: the medians over ``sets`` (keys) of their own quantiles."""
+    parts = 2**FRAGMENT_BITS
+    at = [F.percentile_approx(F.get("keys", F.floor(F.size("keys") * i / parts).cast("int")), 0.5).alias(f"e{i}") for i in range(1, parts)]
+    return sorted({int(e) for e in sets.agg(*at).first() if e is not None})  # at most 2**FRAGMENT_BITS - 1 numbers
 
-    The common keys c of two prefixes are all common keys up to the end of the prefix that ends
-    first. So the sets have at most c and the rest of that one in common, which must reach t/(1+t) of
-    both sizes; a pair that only shares some frequent shingles ends here."""
-    keys = reps.select("rep", "n", F.explode("prefix").alias("key"))
-    a, b = keys.alias("a"), keys.alias("b")
-    ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))  # rows of a repeated id are one class
-    fits = F.col("a.n") * 100 >= F.col("b.n") * percent
-    pairs = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & ordered & fits)
-    pairs = pairs.groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("c"))
-    rest = lambda n: _ceil(n, percent, 100) - 1
-    most = F.col("c") + F.greatest(rest(F.col("na")), rest(F.col("nb")))
-    return pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b", "na", "nb")
+
+def cut(keys: Column, at: list[int]) -> Column:
+    """The segments of a sorted set of keys: an array of fragment, seg."""
+    low, high = [None, *at], [*at, None]
+    inside = lambda lo, hi: F.filter(keys, lambda key: (F.lit(True) if lo is None else key >= lo) & (F.lit(True) if hi is None else key < hi))
+    return F.array(*[F.struct(F.lit(f).alias("fragment"), inside(lo, hi).alias("seg")) for f, (lo, hi) in enumerate(zip(low, high))])
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame, folder: str) -> DataFrame:
@@ -191,18 +249,17 @@ def join(docs: DataFrame, *, percent: int = 70) -> DataFrame:
     groups = common.table(rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("members"), F.first("n").alias("n")), folder, "groups")
     ids = groups.where("first IS NOT NULL")
     rep = F.xxhash64("h1", "h2")  # repeated ids may name two classes, so classes have a name of their own
-    leads = _beside(ids.select(F.col("first").alias("doc_id"), "h1", "h2"), folder, "leads")
-    reps = rows.where("n > 0").join(leads, ["doc_id", "h1", "h2"], "left_semi")
-    pairs = common.table(candidates(reps.select(rep.alias("rep"), "n", "prefix"), percent), folder, "pairs")
+    several = _beside(ids.where("members > 1").select("h1", "h2", "first"), folder, "several")
+    reps = rows.where("n > 0 AND doc_id IS NOT NULL").join(several, ["h1", "h2"], "left").where("first IS NULL OR doc_id = first")
+    pairs = common.table(candidates(heads(reps.select(rep.alias("rep"), "n", "head"), percent, folder), percent), folder, "pairs")
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     texts = docs.join(_beside(ids.select(F.col("first").alias("doc_id"), rep.alias("rep")).join(needed, "rep"), folder, "needed"), "doc_id")
     again = keyed(shingles(texts.select(F.struct("doc_id", "rep").alias("doc_id"), "text"), words), found)
     # of the rows of a repeated id, that of the class
     again = again.where(F.xxhash64(F.xxhash64(F.lit(1), "keys"), F.xxhash64(F.lit(2), "keys")) == F.col("doc_id.rep")).select(F.col("doc_id.rep").alias("rep"), "keys")
-    fragment = lambda key: F.least(F.shiftright(key, RANK_AT - FRAGMENT_BITS), F.lit(2**FRAGMENT_BITS - 1))
-    cut = lambda f: F.struct(F.lit(f).alias("fragment"), F.filter("keys", lambda key: fragment(key) == f).alias("seg"))
-    segments = again.select("rep", F.explode(F.array(*[cut(f) for f in range(2**FRAGMENT_BITS)])).alias("s")).select("rep", "s.fragment", "s.seg")
+    again = common.table(again, folder, "sets")
+    segments = again.select("rep", F.explode(cut(F.col("keys"), edges(again))).alias("s")).select("rep", "s.fragment", "s.seg")
     linked = overlaps(pairs, segments, folder).where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
     links = common.table(linked.select("a", "b"), folder, "linked")
 
