@@ -11,9 +11,10 @@ succeeded names them, so a task that is run again (a lost executor, speculation)
 files that nothing refers to.
 
 Defined results: a null html is an empty payload; a null url is written as "about:blank" and stays
-null in the index; rows that repeat a page_id and its payload are a record each, responses if the
-first of them is; a null page_id is written, as one that is larger than all others; an empty table gives an
-empty index. Other columns are ignored.
+null in the index; rows that repeat a page_id are a record each, and each revisits, or is, the
+response for its own payload (repeated whole rows are all responses if the first of them is); a
+null page_id is larger than all others, and revisits none if there are only null ones; an empty table
+gives an empty index. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,14 +73,18 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, fields(http), payload
 
 
-def first_of_equal(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
-    """page_id, refers_to of the pages whose payload a smaller page_id has too."""
+def with_first(pages: DataFrame, min_revisit: int = 100) -> DataFrame:
+    """page_id, url, html, refers_to: the smallest page_id with the same payload, where that is another one.
+
+    Rows meet their group by digest and salt; a group that is still a large part of all rows is
+    split by adaptive skew handling, rows being the outer side."""
     full = F.coalesce("html", F.lit(""))
-    seen = pages.select("page_id", F.sha2(full.cast("binary"), 256).alias("digest"), F.octet_length(full).alias("n")).where(F.col("n") >= min_revisit)
-    groups = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("_last")).where("_last > refers_to")
-    groups = groups.select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    again = seen.select("page_id", "digest", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return again.join(groups, ["digest", "salt"]).where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    rows = pages.select("page_id", "url", "html", F.sha2(full.cast("binary"), 256).alias("digest"), salt.alias("salt"), (F.octet_length(full) >= min_revisit).alias("long"))
+    groups = rows.where("long").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+    groups = groups.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    later = F.col("long") & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
+    return rows.join(groups, ["digest", "salt"], "left").select("page_id", "url", "html", F.when(later, F.col("first")).alias("refers_to"))
 
 
 def _writer(folder: str, level: int):
@@ -112,9 +117,8 @@ def _writer(folder: str, level: int):
 def write(pages: DataFrame, folder: str, *, min_revisit: int = 100, level: int = 4) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) as WARC files into the URI ``folder`` and returns the
     index, which is stored there too."""
-    revisits = first_of_equal(pages, min_revisit)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").join(revisits, "page_id", "left")
-    return common.table(rows.select("page_id", "url", "html", "refers_to").mapInArrow(_writer(f"{folder}/warc", level), INDEX_SQL), folder, "index")
+    rows = with_first(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), min_revisit)
+    return common.table(rows.mapInArrow(_writer(f"{folder}/warc", level), INDEX_SQL), folder, "index")
 
 
 def _reader(folder: str, gap: int, most: int, payloads: bool):

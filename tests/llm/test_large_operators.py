@@ -25,7 +25,7 @@ def shingles(text):
     return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
 
 
-# ---- near copies --------------------------------------------------------------------------
+# -- near copies
 
 
 @pytest.fixture(scope="module")
@@ -64,7 +64,7 @@ def test_components_of_long_chains(spark):
     assert {got[v] for v in chain} == {min(chain)} and len(set(got.values())) == 2
 
 
-# ---- id store -----------------------------------------------------------------------------
+# -- id store
 
 
 @pytest.fixture(scope="module")
@@ -122,7 +122,7 @@ def test_store_round_trip(spark, docs, rows, empty, tokenizer):
     assert idstore.read(spark, nothing).count() == 0
 
 
-# ---- context trees ------------------------------------------------------------------------
+# -- context trees
 
 
 def slow_log10(train, texts, depth):
@@ -195,7 +195,7 @@ def test_probabilities_add_up():
         assert (ctw.unsqueeze(ctw.squeeze(values), kind) == values).all()
 
 
-# ---- pipeline -----------------------------------------------------------------------------
+# -- pipeline
 
 
 def test_pipeline_stages(spark, tmp_path, docs, rows):

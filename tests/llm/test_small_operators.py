@@ -21,7 +21,7 @@ def size(text):
     return sum(w != "" for w in words(text))
 
 
-# ---- packing ------------------------------------------------------------------------------
+# -- packing
 
 
 def naive(lengths, capacities, long_cost):
@@ -86,7 +86,7 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
-# ---- classifier ---------------------------------------------------------------------------
+# -- classifier
 
 
 def test_statistics_do_not_depend_on_batches():
@@ -131,12 +131,13 @@ def test_quality(spark, docs, empty):
     assert quality.score(empty, forest).count() == 0
 
 
-# ---- archive ------------------------------------------------------------------------------
+# -- archive
 
 
 def test_archive(spark):
     long = "<p>" + "ü" * 5000
     pages = [(3, "http://a/ b", long), (1, None, long), (2, "http://c\r\nX: y", "short"), (5, "u", "short"), (7, "v", None), (8, "w", ""), (9, "http://é", long), (None, "n", long), (11, "r", "z" * 100), (11, "r", "z" * 100), (12, "t", "z" * 100)]
+    pages += [(21, "p", "A" * 200), (22, "p", "B" * 200), (25, "p", "A" * 200), (25, "p", "C" * 200), (26, "p", "A" * 200), (26, "p", "B" * 200), (None, "q", "D" * 200), (None, "r", "D" * 200)]
     df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, offset int")
     folder = common.shared_dir(spark, "t")
     index = warc.write(df, folder)
@@ -146,7 +147,7 @@ def test_archive(spark):
     for page, _, html in pages:
         data = (html or "").encode()
         first = min((p for p, _, h in pages if h == html and p is not None), default=None)
-        again = len(data) >= 100 and page is not None and page > first
+        again = len(data) >= 100 and first is not None and (page is None or page > first)
         wanted.append((page, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first if again else None))
     assert got == sorted(wanted, key=str)
     some = warc.read(index.where("page_id IN (1, 8)"), folder, gap=0).collect()
@@ -156,7 +157,7 @@ def test_archive(spark):
         warc.read(index.where("page_id = 1").withColumn("payload_digest", F.lit("0")), folder).collect()
 
 
-# ---- chat ---------------------------------------------------------------------------------
+# -- chat
 
 
 def turns(spark, rows):
@@ -187,7 +188,7 @@ def test_preference_pairs(spark):
     assert chat.format_pairs(none, none).count() == 0
 
 
-# ---- audio --------------------------------------------------------------------------------
+# -- audio
 
 
 def test_media(docs, rows, empty):
@@ -217,7 +218,7 @@ def test_spectrum_finds_a_tone_and_blocks_agree(monkeypatch):
     assert all((a == b).all() for a, b in zip(media.fingerprint(noise), whole))
 
 
-# ---- mixing -------------------------------------------------------------------------------
+# -- mixing
 
 
 def test_mixing(docs, rows, empty):
@@ -263,7 +264,7 @@ def test_mixing(docs, rows, empty):
     assert copies == +want
 
 
-# ---- top-k --------------------------------------------------------------------------------
+# -- top-k
 
 
 def test_search_prunes_and_is_exact():
