@@ -49,8 +49,9 @@ def clean(text: Column) -> Column:
 
 def limited(word: Column, limit: int) -> Column:
     """Normalised, or null where it is too long before or after that."""
-    short = F.when(F.octet_length(word) <= limit, nfkd(word))
-    return F.when(F.octet_length(short) <= limit, short)
+    # through an array: a lambda's argument is computed once, a repeated expression each time
+    short = F.array(F.when(F.octet_length(word) <= limit, nfkd(word)))
+    return F.get(F.transform(short, lambda x: F.when(F.octet_length(x) <= limit, x)), F.lit(0))
 
 
 def words(text: Column) -> Column:
@@ -60,7 +61,7 @@ def words(text: Column) -> Column:
     return F.transform(found, lambda w: F.when(w != END_OF_DOCUMENT, limited(w, LIMITS.word)))
 
 
-# ---- part-of-speech lines -----------------------------------------------------------------
+# -- part-of-speech lines
 
 
 def _section(token: Column) -> Column:

@@ -34,10 +34,15 @@ def _matches(place: patterns.Place, c: Column) -> Column:
 def search(grams: DataFrame, pattern: str, pos: bool = False) -> DataFrame:
     """The n-grams that ``pattern`` matches, w0.. and frequency, unordered. A shorter pattern is
     answered from longer windows by adding up those that begin alike."""
-    places = patterns.parse(pattern, pos)
+    places = patterns.parse(grams.sparkSession, pattern, pos)
     n = size_of(grams)
     if places is None:
-        return shorten(grams.where(F.lit(False)), min(n, len(pattern.split())))
+        return shorten(grams.where(F.lit(False)), min(n, len(patterns.split(pattern))))
+    return matching(grams, places)
+
+
+def matching(grams: DataFrame, places: list[patterns.Place]) -> DataFrame:
+    n = size_of(grams)
     if len(places) > n:
         raise patterns.PatternError(f"{len(places)} places, but the table has n = {n}")
     tests = [_matches(p, F.col(c)) for p, c in zip(places, columns(n)) if p.kind != "any"]
@@ -53,7 +58,7 @@ def ranked(found: DataFrame) -> DataFrame:
 def regrouped(found: DataFrame, pattern: str) -> DataFrame:
     """Part-of-speech results for reading: where the pattern has no bars, words lose their type and
     lemma, and equal rows add up."""
-    bare = ["|" not in token for token in pattern.split()]
+    bare = ["|" not in token for token in patterns.split(pattern)]
     inflexion = lambda c: F.when(F.col(c) == EDGE, F.col(c)).otherwise(F.split_part(F.col(c), F.lit("|"), F.lit(3)))
     words = columns(len(bare))
     return found.select(*[inflexion(c).alias(c) if b else c for c, b in zip(words, bare)], "frequency").groupBy(*words).agg(F.sum("frequency").alias("frequency"))
@@ -93,22 +98,50 @@ def entropy_index(grams: DataFrame, pattern: str) -> DataFrame:
     return rows.groupBy(*[f"w{k}" for k in known]).agg(_entropy(f).alias("entropy"), F.sum(f).alias("frequency"), F.count("*").alias("n_completions"))
 
 
-def entropy_top(grams: DataFrame, pattern: str, k: int, min_frequency: int = 1) -> DataFrame:
+def _ranking(pattern: str) -> list[str]:
+    """The known columns, in the order of the index which such a pattern uses."""
+    n, known = patterns.parse_entropy(pattern)
+    order = next(o for o in sorted(permutations.orders(n)) if set(o[: len(known)]) == set(known))
+    return [f"w{c}" for c in order[: len(known)]]
+
+
+def entropy_sorted(index: DataFrame, pattern: str) -> DataFrame:
+    """An entropy index by entropy, ties in the order of the index (a range-partitioned sort)."""
+    return index.orderBy("entropy", *_ranking(pattern))
+
+
+def entropy_best(index: DataFrame, pattern: str, k: int, min_frequency: int = 1) -> DataFrame:
     """The k combinations of least entropy as w0.. (``*`` at unknown places), entropy; combinations
     without entropy must occur ``min_frequency`` times. Ties in the order of the index."""
     if k < 1 or min_frequency < 1:
         raise ValueError("k and min_frequency must be at least 1")
     n, known = patterns.parse_entropy(pattern)
-    order = next(o for o in sorted(permutations.orders(n)) if set(o[: len(known)]) == set(known))[: len(known)]
-    found = entropy_index(grams, pattern).where(~((F.col("entropy") == 0) & (F.col("frequency") < min_frequency)))
-    best = found.orderBy("entropy", *[f"w{c}" for c in order]).limit(k)
+    best = entropy_sorted(index.where(~((F.col("entropy") == 0) & (F.col("frequency") < min_frequency))), pattern).limit(k)
     return best.select(*[F.col(f"w{c}") if c in known else F.lit("*").alias(f"w{c}") for c in range(n)], "entropy")
 
 
-def entropy_stats(grams: DataFrame, pattern: str) -> DataFrame:
+def entropy_top(grams: DataFrame, pattern: str, k: int, min_frequency: int = 1) -> DataFrame:
+    return entropy_best(entropy_index(grams, pattern), pattern, k, min_frequency)
+
+
+def entropy_histogram(index: DataFrame) -> DataFrame:
     """entropy (to 1/1000), n: how many combinations have it."""
     h = F.round(F.col("entropy") * 1000) / 1000
-    return entropy_index(grams, pattern).groupBy(h.alias("entropy")).agg(F.count("*").alias("n"))
+    return index.groupBy(h.alias("entropy")).agg(F.count("*").alias("n"))
+
+
+def entropy_stats(grams: DataFrame, pattern: str) -> DataFrame:
+    return entropy_histogram(entropy_index(grams, pattern))
+
+
+def hexadecimal(counts: DataFrame) -> DataFrame:
+    """Whole numbers as 16 hexadecimal digits, lower case; other columns as they are."""
+    return counts.select(*[F.lower(F.lpad(F.hex(c), 16, "0")).alias(c) if kind in ("int", "bigint") else F.col(c) for c, kind in counts.dtypes])
+
+
+def decimal(counts: DataFrame, columns_: list[str]) -> DataFrame:
+    """``columns_`` of hexadecimal() as numbers again."""
+    return counts.withColumns({c: F.conv(c, 16, 10).cast("long") for c in columns_})
 
 
 def lengths(grams: DataFrame) -> DataFrame:
