@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from .config import EDGE
 from .functions import permutations
 from .operators import queries as Q
 from .operators import windows as W
+from .sources import corpus
 
 
 class NgramTable:
@@ -26,10 +28,12 @@ class NgramTable:
         """By ``order``: sorted rows of windows with a word at its first position."""
         return W.permuted(self.grams, order).orderBy(*[f"w{k}" for k in order])
 
+    def orders(self, first: int = 0, howmany: int | None = None) -> Iterator[tuple[int, ...]]:
+        """The search family, or ``howmany`` of it from the ``first`` on."""
+        return islice(permutations.orders(self.n), first, None if howmany is None else first + howmany)
+
     def indexes(self, first: int = 0, howmany: int | None = None) -> dict[tuple[int, ...], DataFrame]:
-        """The indexes of the search family, or ``howmany`` of them from the ``first`` on."""
-        orders = islice(permutations.orders(self.n), first, None if howmany is None else first + howmany)
-        return {order: self.index(order) for order in orders}
+        return {order: self.index(order) for order in self.orders(first, howmany)}
 
     def search(self, pattern: str) -> DataFrame:
         return Q.ranked(Q.search(self.grams, pattern, self.pos))
@@ -74,6 +78,11 @@ class NgramTable:
         words = W.columns(self.n)
         self.grams.repartitionByRange(*words).sortWithinPartitions(*words).write.mode("overwrite").parquet(path)
 
+    def save_index(self, path: str, order: tuple[int, ...]) -> None:
+        """The index by ``order``, stored likewise by its own columns."""
+        words = [f"w{k}" for k in order]
+        W.permuted(self.grams, order).repartitionByRange(*words).sortWithinPartitions(*words).write.mode("overwrite").parquet(path)
+
 
 class NgramEngine:
     def __init__(self, spark: SparkSession):
@@ -85,6 +94,17 @@ class NgramEngine:
             raise ValueError("n must be at least 1")
         return NgramTable(W.table(W.text_words(docs, text, pos), n), pos)
 
+    def from_files(self, path: str, n: int, *, pos: bool = False) -> NgramTable:
+        """Of text files of any size; with ``pos``, of lines "word type lemma"."""
+        if n < 1:
+            raise ValueError("n must be at least 1")
+        return NgramTable(W.count(W.chunk_windows(W.text_words(corpus.read_text(self.spark, path), pos=pos), n)), pos)
+
+    def all_up_to(self, table: NgramTable) -> dict[int, NgramTable]:
+        """Tables of 1..n from that of n, whose text is cleaned and counted once: counts of shorter
+        windows add up from those of the longer ones."""
+        return {n: NgramTable(W.shorten(table.grams, n), table.pos) for n in range(1, table.n)} | {table.n: table}
+
     def vocabulary(self, docs: DataFrame, *, text: str = "text") -> DataFrame:
         """Distinct part-of-speech words with their frequencies."""
         return W.vocabulary(W.text_words(docs, text, pos=True))

@@ -3,23 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import NgramEngine, NgramTable
 from ..functions import permutations
 from ..operators import queries as Q
 from ..operators import windows as W
+from ..sources import storage
+from ..sources.catalog import Catalog, Catalogs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-# ---- corpora ------------------------------------------------------------------------------
+# -- corpora
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A test table. These are single small files, which one task each would clean; a corpus of
+    many files is left as the scan splits it."""
+    found, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return found if len(found.inputFiles()) >= cores else found.repartition(cores)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.text_words(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
+    return W.text_words(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,23 +40,23 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.text_words(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
+    return W.text_words(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.text_words(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text"))
+    return W.text_words(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part-of-speech lines derived from documents: a token, its document's language as its type, its
     first four characters as its lemma."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     tokens = F.filter(F.split("text", r"\s+"), lambda t: t != "")
     lines = F.transform(tokens, lambda t: F.concat_ws("\t", t, F.upper("lang"), F.substring(t, 1, 4)))
     return W.line_words(docs.select("doc_id", lines.alias("lines")))
 
 
-# ---- SQL ----------------------------------------------------------------------------------
+# -- SQL
 
 _MARKS = {"é": ("e", 769), "ó": ("o", 769), "í": ("i", 769), "á": ("a", 769), "ú": ("u", 769), "è": ("e", 768), "à": ("a", 768), "ñ": ("n", 771), "ç": ("c", 807), "ü": ("u", 776), "ä": ("a", 776), "ö": ("o", 776), "ë": ("e", 776), "ê": ("e", 770), "â": ("a", 770), "î": ("i", 770), "ô": ("o", 770), "û": ("u", 770)}
 
@@ -108,11 +119,11 @@ def _query(name: str, sql: str | None = None):
 _DOCS = _words("documents")
 
 
-# ---- counting -----------------------------------------------------------------------------
+# -- counting
 
 _query(
     "token_count",
-    rf"""{_DOCS.replace("SELECT doc_id, text FROM documents", "SELECT doc_id, text FROM documents")},
+    rf"""{_DOCS},
 breaks AS (SELECT *, lag(is_null, 1, true) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM marked)
 SELECT lang, CAST(count(*) FILTER (NOT is_null) AS BIGINT) AS words, CAST(count(*) FILTER (is_null) AS BIGINT) AS null_words,
        CAST(count(*) FILTER (NOT is_null AND after) AS BIGINT) AS segments
@@ -137,10 +148,11 @@ _query("window_table_2", f"{_ALL2}\nSELECT * FROM grams")(lambda spark, d: W.tab
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
     held = documents(spark, d)
-    return W.merge(*[W.table(held.where(F.col("lang") == lang), 2) for lang in ("en", "de")])
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    return W.merge(W.table(held.where(english), 2), W.table(held.where(~english), 2))
 
 
-_query("merge_counts", _ALL2.replace("FROM documents)", "FROM documents WHERE lang IN ('en', 'de'))") + "\nSELECT * FROM grams")(_merged)
+_query("merge_counts", f"{_ALL2}\nSELECT * FROM grams")(_merged)
 
 
 def _per_document(spark: SparkSession, d: str) -> DataFrame:
@@ -151,13 +163,15 @@ def _per_document(spark: SparkSession, d: str) -> DataFrame:
 
 _query("merge_invariance", f"{_ALL2}\nSELECT * FROM grams")(_per_document)
 
-# ---- top-k and search ---------------------------------------------------------------------
+# -- top-k and search
 
 for _n in range(1, 5):
     _by = ", ".join(f"w{k} DESC" for k in range(_n))
     _query(f"get_top_{_n}", f"{_anchored(_n, 0, _DOCS)}\nSELECT * FROM grams ORDER BY frequency DESC, {_by} LIMIT 200")(lambda spark, d, n=_n: Q.top(W.table(documents(spark, d), n), 200))
 
-_query("inverted_by_1_0", f"{_anchored(2, 1, _DOCS)}\nSELECT * FROM grams")(lambda spark, d: Q.inverted(W.table(documents(spark, d), 2), (1, 0)))
+_query("inverted_by_1_0", f"{_anchored(2, 1, _DOCS)}\nSELECT *, row_number() OVER (ORDER BY frequency DESC, w1 DESC, w0 DESC) AS place FROM grams")(
+    lambda spark, d: W.placed(W.permuted(W.table(documents(spark, d), 2), (1, 0)), [F.desc("frequency"), F.desc("w1"), F.desc("w0")], storage.scratch(spark, "inverted"))
+)
 _query("max_frequency", f"{_anchored(2, 0, _DOCS)}\nSELECT max(frequency) AS max_frequency FROM grams")(lambda spark, d: W.table(documents(spark, d), 2).where("w0 <> '$'").agg(F.max("frequency").alias("max_frequency")))
 
 
@@ -166,6 +180,9 @@ def _search(name: str, pattern: str, at: int, where: str):
     _query(name, f"{_anchored(n, at, _DOCS)}\nSELECT * FROM grams WHERE {where}")(lambda spark, d: Q.ranked(Q.search(W.table(documents(spark, d), n), pattern)))
 
 
+_query("search_order", f"{_anchored(2, 1, _DOCS)}\nSELECT *, row_number() OVER (ORDER BY frequency DESC, w0, w1) AS place FROM grams WHERE w1 = 'the'")(
+    lambda spark, d: W.placed(Q.search(W.table(documents(spark, d), 2), "* the"), [F.desc("frequency"), "w0", "w1"], storage.scratch(spark, "search"))
+)
 _search("search_exact", "the of", 0, "w0 = 'the' AND w1 = 'of'")
 _search("search_wild_mid", "the * of", 0, "w0 = 'the' AND w2 = 'of'")
 _search("search_wild_lead", "* the", 1, "w1 = 'the'")
@@ -173,7 +190,7 @@ _search("search_null", "the $", 0, "w0 = 'the' AND w1 = '$'")
 _search("search_normalised", "The 'OF'", 0, "w0 = 'the' AND w1 = 'of'")
 _query("search_rollup", f"{_anchored(2, 0, _DOCS)}\nSELECT * FROM grams WHERE w0 = 'the'")(lambda spark, d: Q.ranked(Q.search(W.table(documents(spark, d), 4), "the *")))
 
-# ---- entropy and lengths ------------------------------------------------------------------
+# -- entropy and lengths
 
 _H = "CASE WHEN count(*) = 1 THEN 0.0::DOUBLE ELSE log2(sum(frequency)::DOUBLE) - sum(frequency * log2(frequency::DOUBLE)) / sum(frequency)::DOUBLE END"
 _query("entropy_of", f"{_anchored(2, 0, _DOCS)}\nSELECT round({_H}, 6) AS entropy FROM grams WHERE w0 = 'the'")(
@@ -181,10 +198,13 @@ _query("entropy_of", f"{_anchored(2, 0, _DOCS)}\nSELECT round({_H}, 6) AS entrop
 )
 
 
+#: The column that must hold a word, by pattern: the first of the index such a pattern uses.
+_ANCHORS = {"= *": 0, "* =": 1, "= * *": 0, "= * =": 2, "= = *": 0}
+
+
 def _entropy_parts(pattern: str) -> tuple[int, list[int], int]:
     places = pattern.split()
-    known = [k for k, p in enumerate(places) if p == "="]
-    return len(places), known, permutations.anchor(known, len(places))
+    return len(places), [k for k, p in enumerate(places) if p == "="], _ANCHORS[pattern]
 
 
 def _entropy_rows(pattern: str) -> str:
@@ -226,11 +246,27 @@ found AS (SELECT strlen({_cat}) AS length, sum(frequency) AS frequency FROM gram
 SELECT r.length, CAST(coalesce(f.frequency, 0) AS BIGINT) AS frequency FROM (SELECT unnest(range(1, {42 * _n})) AS length) r LEFT JOIN found f USING (length)""",
     )(lambda spark, d, n=_n: Q.lengths(W.table(documents(spark, d), n)))
 
-# ---- parts of speech ----------------------------------------------------------------------
+_query("wordlength_2_hex", f"SELECT lpad(lower(hex(length)), 16, '0') AS length, lpad(lower(hex(frequency)), 16, '0') AS frequency FROM ({ORACLES['wordlength_2']})")(lambda spark, d: Q.hexadecimal(Q.lengths(W.table(documents(spark, d), 2))))
+_query("all_up_to_3", "\nUNION ALL ".join(f"SELECT {n} AS n, CAST(count(*) AS BIGINT) AS rows, CAST(sum(frequency) AS BIGINT) AS numwords FROM ({_anchored(n, 0, _DOCS)} SELECT frequency FROM grams)" for n in (1, 2, 3)))(
+    lambda spark, d: reduce(DataFrame.unionByName, [t.grams.where("w0 <> '$'").agg(F.lit(n).alias("n"), F.count("*").alias("rows"), F.sum("frequency").alias("numwords")) for n, t in NgramEngine(spark).all_up_to(NgramTable(W.table(documents(spark, d), 3))).items()])
+)
+
+# -- parts of speech
 
 _TRIPLES = f"{_TAGGED}\nSELECT c AS classification, l AS lemma, i AS inflexion, CAST(count(*) AS BIGINT) AS frequency FROM words GROUP BY ALL"
 _query("vocab_triples", _TRIPLES)(lambda spark, d: W.vocabulary(tagged(spark, d)))
-_query("supplement_c_l_i", _TRIPLES)(lambda spark, d: W.vocabulary(tagged(spark, d)).orderBy("classification", "lemma", "inflexion"))
+
+
+def _supplement(name: str, *order: str):
+    """The vocabulary in an order of its own, each row with its place in it."""
+    sql = f"SELECT *, row_number() OVER (ORDER BY {', '.join(order)}) AS place FROM ({_TRIPLES})"
+    # the vocabulary is small against the corpus, yet places come from range-sorted parts, not from one task
+    _query(name, sql)(lambda spark, d: W.placed(W.vocabulary(tagged(spark, d)), list(order), storage.scratch(spark, "supplement")))
+
+
+_supplement("supplement_c_l_i", "classification", "lemma", "inflexion")
+_supplement("supplement_i_c_l", "inflexion", "classification", "lemma")
+_supplement("supplement_l_i_c", "lemma", "inflexion", "classification")
 _index("pos_bigram", (0, 1), tagged, words=_TAGGED)
 
 
@@ -246,31 +282,69 @@ _query("pos_regroup", f"{_anchored(2, 0, _TAGGED)}\nSELECT split_part(w0, '|', 3
     lambda spark, d: Q.regrouped(Q.search(W.table(tagged(spark, d), 2), "the [en|of|*]", pos=True), "the [en|of|*]")
 )
 
-# ---- catalogue and checks -----------------------------------------------------------------
+# -- catalogue and checks
 
-_COMBOS = ", ".join(f"({n}, {k}, '{'_'.join(map(str, o))}')" for n in range(1, 7) for k, o in enumerate(permutations.orders(n)))
+#: Written out; the orders of a family come by falling bit strings.
+_FAMILIES = """0
+0_1 1_0
+0_1_2 2_0_1 1_2_0
+0_1_2_3 3_0_1_2 2_0_3_1 2_3_0_1 1_2_3_0 1_3_0_2
+0_1_2_3_4 4_0_1_2_3 3_0_1_4_2 3_4_0_1_2 2_0_3_4_1 2_4_0_1_3 2_3_4_0_1 1_2_3_4_0 1_4_2_0_3 1_3_4_0_2
+0_1_2_3_4_5 5_0_1_2_3_4 4_0_1_2_5_3 4_5_0_1_2_3 3_0_1_4_5_2 3_5_0_1_2_4 3_4_0_5_1_2 3_4_5_0_1_2 2_0_3_4_5_1 2_5_0_3_1_4 2_4_0_5_1_3 2_4_5_0_1_3 2_3_4_5_0_1 2_3_5_0_1_4 1_2_3_4_5_0 1_5_2_3_0_4 1_4_2_5_0_3 1_4_5_0_2_3 1_3_4_5_0_2 1_3_5_0_2_4"""
+_COMBOS = ", ".join(f"({n}, {k}, '{o}')" for n, line in enumerate(_FAMILIES.split("\n"), 1) for k, o in enumerate(line.split()))
 _query("index_combinations", f"SELECT * FROM (VALUES {_COMBOS}) t(n, ordinal, permutation)")(lambda spark, d: permutations.table(spark, 6))
 
 
+def _stored(spark: SparkSession, d: str, *sizes: int, entropies: tuple[str, ...] = (), name: str = "corpus", **options) -> Catalog:
+    """A catalog of the documents' tables, as a user would build it: counted once, for the largest n."""
+    root = storage.scratch(spark, "catalogs")
+    catalog, last = Catalog(spark, f"{root}/{name}"), None
+    for n in sorted(sizes, reverse=True):
+        made = NgramTable(W.table(documents(spark, d), n) if last is None else W.shorten(last.grams, n))
+        catalog.add(made, name, entropies=[p for p in entropies if len(p.split()) == n], **options)
+        last = catalog.table(n)
+    return catalog
+
+
 def _catalog(spark: SparkSession, d: str) -> DataFrame:
-    held = documents(spark, d)
-    rows = [W.table(held, n).agg(F.lit(n).alias("n"), F.count("*").alias("rows"), F.sum(F.when(F.col("w0") != "$", F.col("frequency"))).alias("numwords")) for n in (1, 2)]
-    return rows[0].unionByName(rows[1])
+    stored = _stored(spark, d, 1, 2, indexes=False, top=False)
+    entry = F.from_json("entry", "rows long, numwords long")
+    return Catalogs(spark, stored.path.rpartition("/")[0]).list_all().select("corpus", "n", entry["rows"].alias("rows"), entry["numwords"].alias("numwords"))
 
 
 _query(
     "catalog",
-    f"""{_ALL2} SELECT 1 AS n, CAST(count(DISTINCT w) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS numwords FROM words
-UNION ALL SELECT 2, (SELECT count(*) FROM grams), (SELECT CAST(sum(frequency) AS BIGINT) FROM grams WHERE w0 <> '$')""",
+    f"""{_ALL2} SELECT 'corpus' AS corpus, 1 AS n, CAST(count(DISTINCT w) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS numwords FROM words
+UNION ALL SELECT 'corpus', 2, (SELECT count(*) FROM grams), (SELECT CAST(sum(frequency) AS BIGINT) FROM grams WHERE w0 <> '$')""",
 )(_catalog)
 
+_query("stored_search_lead", f"{_anchored(2, 1, _DOCS)}\nSELECT * FROM grams WHERE w1 = 'the'")(lambda spark, d: _stored(spark, d, 2, top=False).search("* the"))
+_query("stored_search_mid", f"{_anchored(3, 2, _DOCS)}\nSELECT * FROM grams WHERE w0 = 'the' AND w2 = 'of'")(lambda spark, d: _stored(spark, d, 3, top=False).search("the * of"))
+_query("stored_search_rollup", f"{_anchored(2, 0, _DOCS)}\nSELECT * FROM grams WHERE w0 = 'the'")(lambda spark, d: _stored(spark, d, 3, top=False).search("the *"))
+_query("stored_top", f"{_anchored(2, 0, _DOCS)}\nSELECT * FROM grams ORDER BY frequency DESC, w0 DESC, w1 DESC LIMIT 200")(lambda spark, d: _stored(spark, d, 2, indexes=False).get_top(2, 200))
+_query("stored_entropy_of", f"{_anchored(2, 1, _DOCS)}\nSELECT round({_H}, 6) AS entropy FROM grams WHERE w1 = 'the'")(
+    lambda spark, d: _stored(spark, d, 2, top=False).entropy_of("* the").select(F.round("entropy", 6).alias("entropy"))
+)
+_query("stored_entropy_top", ORACLES["entropy_top_101"])(lambda spark, d: _stored(spark, d, 3, indexes=False, top=False, entropies=("= * =",)).entropy_top("= * =", 50, 3).withColumn("entropy", F.round("entropy", 6)))
+_query("stored_entropy_stats", ORACLES["entropy_stats_10"])(lambda spark, d: _stored(spark, d, 2, indexes=False, top=False, entropies=("= *",)).entropy_stats("= *"))
+_query("entropy_catalog", "SELECT * FROM (VALUES (2, '* ='), (2, '= *'), (3, '= * =')) t(n, pattern)")(
+    lambda spark, d: _stored(spark, d, 2, 3, indexes=False, top=False, entropies=("= *", "* =", "= * =")).list_entropies()
+)
+
+
+def _numbered(grams: DataFrame) -> DataFrame:
+    return grams.withColumn("row", F.monotonically_increasing_id())
+
 
 def _sorted_check(spark: SparkSession, d: str) -> DataFrame:
-    held = W.permuted(W.table(documents(spark, d), 2), (0, 1)).orderBy("w0", "w1")
-    return W.unsorted_rows(held.withColumn("row", F.monotonically_increasing_id()), ["w0", "w1"])
+    return W.unsorted_rows(_numbered(W.permuted(W.table(documents(spark, d), 2), (0, 1)).orderBy("w0", "w1")), ["w0", "w1"])
 
 
-_query("sorted_check", "SELECT CAST(0 AS BIGINT) AS violations")(_sorted_check)
+_query("sorted_check", f"{_anchored(2, 0, _DOCS)}\nSELECT CAST(count(*) FILTER (bad) AS BIGINT) AS violations FROM (SELECT lag((w0, w1)) OVER (ORDER BY w0, w1) >= (w0, w1) AS bad FROM grams)")(_sorted_check)
+# sorted by other columns than those that are checked
+_query("sorted_check_other", f"{_anchored(2, 1, _DOCS)}\nSELECT CAST(count(*) FILTER (bad) AS BIGINT) AS violations FROM (SELECT lag((w0, w1)) OVER (ORDER BY w1, w0) >= (w0, w1) AS bad FROM grams)")(
+    lambda spark, d: W.unsorted_rows(_numbered(W.permuted(W.table(documents(spark, d), 2), (1, 0)).orderBy("w1", "w0")), ["w0", "w1"])
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

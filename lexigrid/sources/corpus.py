@@ -1,4 +1,4 @@
-"""Text files as documents, and tables of n-grams as text files."""
+"""Text files in chunks, generated text, and tables of n-grams as text files."""
 
 from __future__ import annotations
 
@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 
 from ..operators.windows import columns, permuted, size_of
 
-DOCUMENT_END = "---END.OF.DOCUMENT---"
+#: 2**CHUNK_BITS lines make a chunk.
+CHUNK_BITS = 10
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, text: what lies between end-of-document markers of plain text files. Windows run over line
-    ends, so a line can't be a row; the marker breaks segments anyway and parts the file for scanning."""
-    lines = spark.read.option("lineSep", DOCUMENT_END).text(path)
-    return lines.select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
-
-
-def read_tagged(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, text: whole files of lines "word type lemma", one document each."""
-    return spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
+    """file, chunk, text: text files of any size, in chunks of lines that sort in the order of the file.
+
+    Files are split between lines by the scan, so no task reads a whole large one. Windows run
+    over chunks (``windows.chunk_windows``). Bytes that aren't UTF-8 are no letters and vanish."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), "value")
+    chunk = F.struct("at", F.shiftright("id", CHUNK_BITS).alias("part"))
+    each = lines.groupBy("file", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("id", "value"))).alias("lines"))
+    return each.select("file", "chunk", F.concat_ws("\n", "lines.value").alias("text"))
+
+
+def generated(spark: SparkSession, documents: int, *, words: int = 200, vocabulary: int = 10_000, seed: int = 0) -> DataFrame:
+    """doc_id, text: test documents of ``words`` words whose k-th most frequent word is about 1/k as frequent as the first."""
+    letter = lambda rank, k: F.char(F.lit(97) + F.pmod(F.shiftright(F.xxhash64(rank, F.lit(k)), 7), F.lit(26)))
+    rank = lambda i: F.floor(F.pow(F.lit(float(vocabulary)), F.pmod(F.xxhash64("id", i, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)))
+    ranks = F.transform(F.sequence(F.lit(1), F.lit(words)), rank)
+    spell = lambda r: F.concat(*[letter(r, k) for k in range(4)], F.when(r > 100, F.concat(letter(r, 4), letter(r, 5))).otherwise(""))
+    return spark.range(documents).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(ranks, spell)).alias("text"))
 
 
 def write_index(grams: DataFrame, order: tuple[int, ...], path: str) -> None:

@@ -202,3 +202,27 @@ def test_orders():
 def test_sorted_check(spark):
     df = spark.createDataFrame([(i, w) for i, w in enumerate(["a", "b", "b", "d", "c"])], "row long, w0 string")
     assert W.unsorted_rows(df, ["w0"]).first()[0] == 2
+    far = spark.createDataFrame([(0, "f"), (1, "g"), (5 << 33, "a"), ((5 << 33) + 1, "b"), (9 << 33, "z")], "row long, w0 string")
+    assert W.unsorted_rows(far, ["w0"]).first()[0] == 1
+    assert W.unsorted_rows(df.limit(0), ["w0"]).first()[0] == 0
+
+
+@pytest.mark.parametrize("word", ["the\ufe0f", "\U0001f130", "\u1734reversed", "ﬁn", "İSTANBUL", "Σ", "x\u00ad-y", "ªb", "a\u0345", "\u0903a"])
+def test_patterns_follow_the_tables(spark, word):
+    """A pattern that is the text itself finds the word that the text gave."""
+    engine = NgramEngine(spark)
+    table = engine.from_text(spark.createDataFrame([(0, f"a {word} b")], "doc_id long, text string"), 3)
+    assert rows(table.search(f"a {word} b")) == {("a", words_of(spark, word)[0][0], "b"): 1}
+
+
+def test_patterns_of_null_words(spark, tables):
+    assert tables[2].search("---END.OF.DOCUMENT--- the").count() == 0
+    assert rows(tables[2].search("the\u2003of")) == rows(tables[2].search("the of"))
+
+
+def test_hexadecimal(spark, tables):
+    from lexigrid.operators import queries as Q
+
+    counts = tables[2].wordlength_stats()
+    text = Q.hexadecimal(counts)
+    assert text.first() == ("0" * 15 + "1", "0" * 16) and Q.decimal(text, ["length", "frequency"]).collect() == counts.collect()
