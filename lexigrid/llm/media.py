@@ -1,7 +1,8 @@
 """Audio columns: WAV files, short-time Fourier transforms and spectral-peak fingerprints.
 
-A payload is stored as an 8-bit mono WAV file. Features are computed from the samples that the
-``wave`` module reads back from the stored bytes: the power spectrum of windowed frames; per
+A payload is stored as an 8-bit mono WAV file in a binary column of a Parquet table (``store``). Features
+are computed from the samples that the ``wave`` module reads back from that column (``features``): the
+power spectrum of windowed frames; per
 frame and frequency band the strongest bin, where it is a peak in time; and pairs of a peak with
 the next peaks after it, as two parallel arrays, the pair's frame number and its hash
 (bin, later bin, distance in frames).
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 UNIT, RATE = 64, 8000
 FRAME, HOP, BLOCK = 512, 256, 4096
 #: Bands are bins EDGES[i]..EDGES[i+1]-1 of the spectrum.
@@ -33,6 +36,8 @@ EDGES = (1, 8, 32, 96, FRAME // 2 + 1)
 NEAR, FAN, REACH = 3, 3, 63
 _WINDOW = np.hanning(FRAME)
 
+STORED_SQL = "doc_id long, n_bytes long, media binary"
+STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, fp_time array<int>, fp_hash array<int>"
 
 
@@ -97,27 +102,42 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return time[order].astype(np.int32), hashed[order].astype(np.int32)
 
 
-def _describe(ids: list, texts: pa.Array) -> pa.RecordBatch:
-    rows = []
-    for i, text in zip(ids, texts):
-        data = (text.as_py() or "").encode()
-        stored = to_wav(pad(data))
-        payload = from_wav(stored)
-        time, hashed = fingerprint(np.frombuffer(payload, np.uint8))
-        feature = f"{len(time)}:{hashlib.sha1(time.tobytes() + hashed.tobytes()).hexdigest()}"
-        rows.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, time, hashed))
+def _slices(parts: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for first in range(0, part.num_rows, rows):
+            yield part.slice(first, rows)
+
+
+def _wavs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _slices(parts):
+        texts = [(t or "").encode() for t in part.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array([to_wav(pad(t)) for t in texts], pa.binary())], schema=STORED)
+
+
+def _described(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+    for part in _slices(parts):
+        rows = []
+        for i, n, stored in zip(*(c.to_pylist() for c in part.columns)):
+            payload = from_wav(stored)
+            time, hashed = fingerprint(np.frombuffer(payload, np.uint8))
+            feature = f"{len(time)}:{hashlib.sha1(time.tobytes() + hashed.tobytes()).hexdigest()}"
+            rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, time, hashed))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
 
-def _batches(parts: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        for first in range(0, part.num_rows, rows):
-            cut = part.slice(first, rows)
-            yield _describe(cut.column(0).to_pylist(), cut.column(1))
+def store(docs: DataFrame, folder: str) -> DataFrame:
+    """Writes the table doc_id, n_bytes (of the text), media (a WAV file) for ``docs`` (doc_id, text) into ``folder`` and reads it."""
+    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_wavs, STORED_SQL).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema(STORED_SQL).parquet(folder)
+
+
+def features(media: DataFrame) -> DataFrame:
+    """One row of SCHEMA for each row of a stored table (doc_id, n_bytes, media)."""
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_described, SCHEMA)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row of SCHEMA for each row of ``docs`` (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_batches, SCHEMA)
+    """One row of SCHEMA for each row of ``docs`` (doc_id, text), from the stored media."""
+    return features(store(docs, common.shared_dir(docs.sparkSession, "media")))
