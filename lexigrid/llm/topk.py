@@ -6,7 +6,8 @@ component), the largest and smallest value. For a query the sum of its terms' la
 products bounds every score in a block. Each query takes the blocks from the highest bound down
 and stops when a bound falls below its k-th best score so far; a bound equal to it is still
 scored, since ties go to the smaller id. So nothing is lost and no vector is scored outside a block
-that could matter.
+that could matter. Inside a range blocks hold vectors that are alike (``similar``), which makes their
+bounds tight where vectors cluster; vectors spread evenly in all directions leave nothing to prune.
 
 Queries meet candidates in a grid of id ranges x groups of queries; a task holds one range and one
 group (at most RANGE_ROWS and GROUP_ROWS vectors), keeps k rows a query, and these are merged per
@@ -45,6 +46,14 @@ def matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+def similar(vectors: np.ndarray) -> np.ndarray:
+    """An order in which neighbours are alike: by the signs along the directions of most variance."""
+    c = vectors - vectors.mean(axis=0)
+    _, axes = np.linalg.eigh(c.T @ c)
+    signs = c @ axes[:, ::-1][:, :12] > 0
+    return np.argsort(signs @ (1 << np.arange(signs.shape[1])[::-1]), kind="stable")
+
+
 def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, int]:
     """For every query its k best candidates other than itself: their places (-1: none) and scores,
     by falling score and rising id; and how many blocks were scored. ``ids`` must be sorted."""
@@ -58,6 +67,8 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
     place = np.full((len(queries), k), -1, np.int64)
     if not n or not len(queries):
         return place, top, 0
+    at = similar(vectors.astype(np.float64))
+    vectors, ids = vectors[at], ids[at]  # places stay those of the sorted ids
     starts = np.arange(0, n, block)
     largest, smallest = np.maximum.reduceat(vectors, starts), np.minimum.reduceat(vectors, starts)
     bounds = (np.maximum(queries, 0) @ largest.T + np.minimum(queries, 0) @ smallest.T).astype(np.int64)
@@ -67,16 +78,16 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
         live = live[bounds[live, order[live, step]] >= top[live, -1]]  # bounds only fall from here on
         if not len(live):
             break
-        at = order[live, step]
-        by = np.argsort(at, kind="stable")
-        for group in np.split(live[by], np.flatnonzero(np.diff(at[by])) + 1):
+        blocks = order[live, step]
+        by = np.argsort(blocks, kind="stable")
+        for group in np.split(live[by], np.flatnonzero(np.diff(blocks[by])) + 1):
             b = order[group[0], step]
             first, last = starts[b], min(starts[b] + block, n)
             got = (queries[group] @ vectors[first:last].T).astype(np.int64)
             got[query_ids[group][:, None] == ids[first:last]] = low
             scored += len(group)
             scores = np.concatenate([top[group], got], axis=1)
-            places = np.concatenate([place[group], np.broadcast_to(np.arange(first, last), got.shape)], axis=1)
+            places = np.concatenate([place[group], np.broadcast_to(at[first:last], got.shape)], axis=1)
             best = np.lexsort((places, -scores.astype(np.float64) if most < 2**53 else ~scores), axis=1)[:, :k]  # places follow ids
             top[group], place[group] = np.take_along_axis(scores, best, 1), np.take_along_axis(places, best, 1)
     place[top == low] = -1

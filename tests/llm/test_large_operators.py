@@ -217,3 +217,13 @@ def test_pipeline_stages(spark, tmp_path, docs, rows):
     for r in read.collect():
         packed[r.doc_id] += r.length
     assert packed == sizes and sum(sizes.values()) > 1000
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    names = "doc_id long, text string, lang string, source string, n_chars long, _id long, row string, words string"
+    for k, (docs, labels) in enumerate([([], []), ([(1, None, None, None, None, 1, "r", "w"), (None, "", "en", "a", 0, 2, "r", "w"), (2, "just a few words here", "en", None, 21, 3, None, None)] * 2, [])]):
+        d = tmp_path / str(k)
+        spark.createDataFrame(docs, names).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(d)).collect()
+        assert (not got) if not docs else {r.doc_id for r in got} <= {1, 2, None} and sum(r.length - 1 for r in got) == 5

@@ -218,6 +218,37 @@ def test_spectrum_finds_a_tone_and_blocks_agree(monkeypatch):
     assert all((a == b).all() for a, b in zip(media.fingerprint(noise), whole))
 
 
+def slow_fingerprint(x):
+    """By the definition: a Fourier matrix, one frame, band and peak at a time."""
+    n = max(1, -(-(len(x) - media.FRAME) // media.HOP) + 1)
+    matrix = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME)) / media.FRAME)
+    best = []
+    for t in range(n):
+        frame = np.zeros(media.FRAME)
+        part = x[t * media.HOP : t * media.HOP + media.FRAME]
+        frame[: len(part)] = part
+        power = abs(matrix @ ((frame - frame.mean()) * np.hanning(media.FRAME))) ** 2
+        best.append([max((power[f], -f) for f in range(a, b)) for a, b in zip(media.EDGES, media.EDGES[1:])])
+    found = []
+    for t in range(n):
+        for b in range(len(best[0])):
+            p = best[t][b][0]
+            if p > 1e-6 and all(p > best[u][b][0] for u in range(max(0, t - media.NEAR), t)) and all(p >= best[u][b][0] for u in range(t + 1, min(n, t + media.NEAR + 1))):
+                found.append((t, -best[t][b][1]))
+    return sorted((t, f << 15 | g << 6 | u - t) for k, (t, f) in enumerate(found) for u, g in found[k + 1 : k + 1 + media.FAN] if u - t <= media.REACH)
+
+
+def test_fingerprints_against_the_definition(spark):
+    rng = np.random.default_rng(1)
+    for size in (64, 512, 513, 5000, 30_000):
+        noise = rng.integers(0, 256, size, np.uint8)
+        time, hashed = media.fingerprint(noise)
+        assert list(zip(time.tolist(), hashed.tolist())) == slow_fingerprint(noise)
+    folder = common.shared_dir(spark, "t")
+    held = media.store(spark.createDataFrame([(1, "héllo", 0), (2, None, 0)], "doc_id long, text string, media int"), folder)
+    assert {(r.doc_id, r.n_bytes, media.from_wav(r.media)) for r in held.collect()} == {(1, 6, "héllo".encode() + bytes(58)), (2, 0, bytes(64))}
+
+
 # -- mixing
 
 
@@ -254,14 +285,37 @@ def test_mixing(docs, rows, empty):
         for s, b in blocks.items():
             assert abs(sum(x[1] == s for x in slots[:n]) - min(n, len(slots)) * b / len(slots)) < 6
     assert mixing.taken(mixing.mix(empty)).count() == 0
-    mixed = mixing.mixed_documents(docs, block=64)
-    assert mixed.columns == docs.columns
-    copies = Counter(r.doc_id for r in mixed.collect())
-    want = Counter()
+    # the mix itself: pieces in the order of the schedule, which together are the words taken
+    clash = docs.withColumns({"_id": F.lit(1), "_copy": F.lit(2), "rid": F.lit(3), "slot": F.lit(4), "words": F.lit("w"), "a.b": F.lit(5)})
+    mixed = mixing.mixed(clash, block=64)
+    assert mixed.columns == clash.columns
+    laid = mixed.collect()
+    sums = Counter()
+    for r in laid:
+        sums[r.doc_id] += size(r.text)
+        assert (r["_id"], r["_copy"], r.rid, r.slot, r.words, r["a.b"]) == (1, 2, 3, 4, "w", 5) and size(r.text) <= 64
+    wanted = Counter()
     for r in got:
-        if r.size:
-            want[r.doc_id] += int(r.taken / r.size + 0.5)
-    assert copies == +want
+        wanted[r.doc_id] += r.taken
+    assert sums == +wanted
+    plan = sorted((p.slot, p.rid, p.epoch, p.doc_id, p.n_words) for p in found.pieces.collect())
+    assert [x[4] for x in plan] and sorted((str(r.doc_id), size(r.text)) for r in laid) == sorted((str(x[3]), x[4]) for x in plan)
+    named = {s: k for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    runs, at = [], 0
+    while at < len(laid):  # each block's pieces stand together, in the order of its slot
+        sid, left = named[laid[at].source], None
+        slot, want_sid, block = slots[len(runs)]
+        assert sid == want_sid
+        left = sum(x[4] for x in plan if x[0] == slot)
+        while left:
+            assert named[laid[at].source] == sid
+            left -= size(laid[at].text)
+            at += 1
+        runs.append(sid)
+    assert len(runs) == len(slots)
+    long = {r.doc_id: r for r in docs.where("doc_id = 81").collect()}[81]
+    pieces = [w for r in laid if r.doc_id == 81 for w in words(r.text) if w]
+    assert set(pieces) <= set(words(long.text)) and mixing.mixed(clash.limit(0)).count() == 0
 
 
 # -- top-k
@@ -271,7 +325,7 @@ def test_search_prunes_and_is_exact():
     rng = np.random.default_rng(5)
     ids = np.arange(700) * 3
     near = np.repeat(rng.integers(-60, 60, (7, 6)), 100, axis=0) + rng.integers(-2, 3, (700, 6))
-    for vectors, fewer in ((near, True), (rng.integers(-3, 4, (700, 6)), False), (near * 2**24, False)):
+    for vectors, fewer in ((near, True), (rng.permutation(near), True), (rng.integers(-3, 4, (700, 6)), False), (near * 2**24, False)):
         queries = vectors[::50]
         place, score, scored = topk.search(ids, vectors, ids[::50], queries, 5, block=20)
         for q in range(len(queries)):
