@@ -7,15 +7,16 @@ source's interval of the cumulative shares; the r-th slot of a source takes its
 So the mix holds every source in proportion in each stretch of the schedule, not just in all.
 
 Defined results: a null source is a source of its own and comes last; a null, empty or blank
-text has size 0 and nothing of it is taken; rows that repeat a doc_id are rows of their own;
-an empty table gives empty results. Other columns are ignored.
+text has size 0 and nothing of it is taken; rows that repeat a doc_id, or have none, are rows of
+their own (those of equal size are laid in any order); a text of any length is cut into blocks; an empty
+table gives empty results. ``mix`` ignores other columns, ``mixed`` keeps all, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,9 +30,9 @@ SLOT_CHUNK, CELLS = 65536, 4096
 
 @dataclass(frozen=True)
 class Mix:
-    """``sources``: sid, source, source_size, weight, target, take, blocks. ``documents``: doc_id,
-    sid, size, start (in its source's stream). ``schedule``: slot, sid, block. ``pieces``: the
-    scheduled words: slot, sid, block, doc_id, start, epoch, doc_from, n_words."""
+    """``sources``: sid, source, source_size, weight, target, take, blocks. ``documents``: rid (its row),
+    doc_id, sid, size, start (in its source's stream). ``schedule``: slot, sid, block. ``pieces``: the
+    scheduled words: slot, sid, block, rid, doc_id, size, start, epoch, doc_from, n_words."""
 
     sources: DataFrame
     documents: DataFrame
@@ -92,18 +93,19 @@ def schedule(sources: DataFrame) -> DataFrame:
     return ranked.where("block < blocks").select("slot", "sid", "block").unionByName(late.select("slot", "sid", "block"))
 
 
-def mix(docs: DataFrame, *, weights=(1, 2, 3), max_repeat: int = 3, block: int = 1024, seed: str = "mix") -> Mix:
-    """Plans the mix of ``docs`` (doc_id, text, source)."""
+def mix(docs: DataFrame, *, weights=(1, 2, 3), max_repeat: int = 3, block: int = 1024, seed: str = "mix", rid: Column | None = None) -> Mix:
+    """Plans the mix of ``docs`` (doc_id, text, source); ``rid`` numbers its rows, by default as they come."""
     folder = common.shared_dir(docs.sparkSession, "mix")
-    sized = common.table(docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size")), folder, "sized")
+    row = F.monotonically_increasing_id() if rid is None else rid
+    sized = common.table(docs.select(row.alias("rid"), "doc_id", "source", common.n_words(F.col("text")).alias("size")), folder, "sized")
     sources = common.table(targets(sized, weights, max_repeat, block), folder, "sources")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     placed = (
         sized.join(sources.select("sid", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s")))
-        .select("doc_id", "sid", "size", key.alias("h"))
+        .select("rid", "doc_id", "sid", "size", key.alias("h"))
         .withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     )
-    documents = common.table(common.running_total(placed, ["sid"], "bucket", ["h", "size"], "size", "start").select("doc_id", "sid", "size", "start", "bucket"), folder, "documents")
+    documents = common.table(common.running_total(placed, ["sid"], "bucket", ["h", "size", "rid"], "size", "start").select("rid", "doc_id", "sid", "size", "start"), folder, "documents")
     plan = schedule(sources)
     lo = F.col("start") + F.col("epoch") * F.col("source_size")
     cut = (
@@ -112,33 +114,40 @@ def mix(docs: DataFrame, *, weights=(1, 2, 3), max_repeat: int = 3, block: int =
         .withColumn("lo", lo)
         .withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("take")))
         .where("lo < hi")
-        .select("doc_id", "sid", "start", "epoch", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).alias("block"))
+        .select("rid", "doc_id", "sid", "size", "start", "epoch", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).alias("block"))
         .withColumn("_from", F.greatest("lo", F.col("block") * block))
         .withColumn("doc_from", F.col("_from") - F.col("lo"))
         .withColumn("n_words", F.least(F.col("hi"), (F.col("block") + 1) * block) - F.col("_from"))
     )
-    pieces = cut.join(plan, ["sid", "block"]).select("slot", "sid", "block", "doc_id", "start", "epoch", "doc_from", "n_words")
+    pieces = cut.join(plan, ["sid", "block"]).select("slot", "sid", "block", "rid", "doc_id", "size", "start", "epoch", "doc_from", "n_words")
     return Mix(sources, documents, plan, pieces)
 
 
 def taken(found: Mix) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken: the words that the schedule takes of each document."""
-    words = found.pieces.groupBy("sid", "start").agg(F.sum("n_words").alias("taken"))
-    docs = found.documents.withColumn("_at", F.when(F.col("size") > 0, F.col("start")))
-    docs = docs.join(words.withColumnRenamed("start", "_at"), ["sid", "_at"], "left").join(found.sources, "sid")
-    return docs.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every document repeated as often as the mix takes it, rounded to whole
-    documents (half up); all columns are kept. A source's words so stay within one document of
-    its target a pass. Rows that share a doc_id are told apart by size and text."""
-    plan = taken(mix(docs, **options)).where("size > 0")
-    copies = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
-    plan = plan.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("size").alias("_size"), F.coalesce("source", F.lit("")).alias("_src"), F.col("source").isNull().alias("_nosrc"), copies.alias("_copies"))
-    plan = plan.groupBy("_id", "_null", "_size", "_src", "_nosrc").agg(F.sort_array(F.collect_list("_copies"), asc=False).alias("_each"))
-    keys = ["_id", "_null", "_size", "_src", "_nosrc"]
-    order = Window.partitionBy(*keys).orderBy("text")
-    rows = docs.select("*", F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"), common.n_words(F.col("text")).alias("_size"), F.coalesce("source", F.lit("")).alias("_src"), F.col("source").isNull().alias("_nosrc"))
-    rows = rows.withColumn("_rank", F.row_number().over(order)).join(plan, keys)
-    return rows.withColumn("_n", F.element_at("_each", F.col("_rank"))).where("_n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
+    """doc_id, size, source, source_size, target of each document; taken: the words that the schedule takes of
+    it, in how many pieces, and the first_slot that holds one (null: none)."""
+    words = found.pieces.groupBy("rid").agg(F.sum("n_words").alias("taken"), F.count("*").alias("pieces"), F.min("slot").alias("first_slot"))
+    docs = found.documents.join(words, "rid", "left").join(found.sources, "sid")
+    none = F.lit(0).cast("long")
+    return docs.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("pieces", none).alias("pieces"), "first_slot")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: a row for each scheduled piece, in the order of the schedule, with all columns of
+    its document and as ``text`` the words of the piece (the whole text, as it is, where it lies in one
+    block). So every block of words stands where its slot is, and each source has just its target."""
+    folder = common.shared_dir(docs.sparkSession, "mixed")
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # no name of a document's clashes with those used here
+    packed = docs.select(F.monotonically_increasing_id().alias("rid"), *[F.col(f"`{c}`").alias(x) for c, x in names.items()])
+    packed.write.option("compression", "zstd").parquet(f"{folder}/rows")
+    rows = docs.sparkSession.read.schema(packed.schema).parquet(f"{folder}/rows")
+    found = mix(rows.select("rid", *[F.col(names[c]).alias(c) for c in ("doc_id", "text", "source")]), rid=F.col("rid"), **options)
+    plan = found.pieces.groupBy("rid").agg(F.collect_list(F.struct("slot", "epoch", "size", "doc_from", "n_words")).alias("plan"))
+    # words are found once a document, and only where it is cut
+    cut = F.exists("plan", lambda p: p["n_words"] < p["size"])
+    split = rows.join(plan, "rid").select("rid", *names.values(), "plan", F.explode_outer(F.array(F.when(cut, common.words(F.col(names["text"]))))).alias("words"))
+    each = split.select("rid", *names.values(), "words", F.explode("plan").alias("p"))
+    part = F.array_join(F.slice("words", (F.col("p.doc_from") + 1).cast("int"), F.col("p.n_words").cast("int")), " ")
+    text = F.when(F.col("p.n_words") < F.col("p.size"), part).otherwise(F.col(names["text"]))
+    laid = each.select(F.col("p.slot").alias("slot"), "rid", F.col("p.epoch").alias("epoch"), *[text.alias(x) if c == "text" else F.col(x) for c, x in names.items()])
+    return laid.orderBy("slot", "rid", "epoch").select(*[F.col(x).alias(c) for c, x in names.items()])
