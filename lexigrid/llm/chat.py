@@ -1,9 +1,13 @@
 """Preference formatting of chosen and rejected conversations (DataFrame functions only).
 
 Both sides of a pair are tables of turns. The longest common prefix of turns is rendered once, as
-the prompt; what follows it on either side is that side's completion. Only the assistant's turns
-in a completion are trained on: of each, the text and the end mark. Everything stays one row a
-turn and every total is distributed (``running_total``), so a conversation of any length is never
+the prompt; what follows it on either side is that side's completion, and both completions stand
+side by side in one row a position. Only the assistant's turns in a completion are trained on: of each,
+the text and the end mark.
+
+Texts are shuffled by conversation and bucket of TURN_BUCKET turns, once a side, and stay there; what
+a bucket must know of the others of its conversation (turns and characters before it, where the
+prefix ends) is worked out from one small row a bucket. So a conversation of any length is never
 collected into one row or one task.
 
 Defined results: turns are ordered by turn number (null first), role and text; rows that repeat
@@ -15,64 +19,81 @@ other than pair_id, turn, role and text are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
-
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TURN_BUCKET = 1024
 
 
+KEYS = ["_none", "_pair", "_bucket"]
+
+
+def _keyed(rows: DataFrame, bucket: Column, *columns) -> DataFrame:
+    none = F.col("pair_id").isNull()
+    return rows.select(none.alias("_none"), F.coalesce("pair_id", F.lit(0).cast("long")).alias("_pair"), bucket.alias("_bucket"), *columns)
+
+
+def _before(value: str) -> Column:
+    """The sum of ``value`` over the buckets of a conversation before this one."""
+    w = Window.partitionBy("_none", "_pair").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(w), F.lit(0).cast("long"))
+
+
 def positions(turns: DataFrame) -> DataFrame:
     """pair_id, pos, role, text: the turns of each conversation, numbered from 0."""
-    one = turns.select(F.col("pair_id").isNull().alias("_none"), F.coalesce("pair_id", F.lit(0).cast("long")).alias("pair_id"), "turn", "role", "text").distinct()
-    one = one.withColumn("_bucket", F.coalesce(F.floor(F.col("turn") / TURN_BUCKET), F.lit(-(2**60)).cast("long"))).withColumn("_one", F.lit(1).cast("long"))
-    order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    out = common.running_total(one, ["_none", "pair_id"], "_bucket", order, "_one", "pos")
-    return out.select(F.when(~F.col("_none"), F.col("pair_id")).alias("pair_id"), "pos", "role", "text")
+    bucket = F.coalesce(F.floor(F.col("turn") / TURN_BUCKET), F.lit(-(2**60)).cast("long"))
+    one = _keyed(turns, bucket, "turn", "role", "text").repartition(*KEYS).distinct()
+    before = one.groupBy(*KEYS).agg(F.count("*").alias("n")).select(*KEYS, _before("n").alias("_before"))
+    order = Window.partitionBy(*KEYS).orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    out = one.withColumn("_row", F.row_number().over(order)).join(before, KEYS)
+    return out.select(F.when(~F.col("_none"), F.col("_pair")).alias("pair_id"), (F.col("_before") + F.col("_row") - 1).alias("pos"), "role", "text")
 
 
 def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), F.coalesce(role, F.lit("user")), F.lit("\n"), F.coalesce(text, F.lit("")), F.lit(CLOSE + "\n"))
 
 
-def split(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """pair_id, part (prompt, chosen or rejected), pos, role, text from numbered turns of both sides.
-
-    A turn belongs to the prompt when it and all turns before it are equal on both sides: when it
-    comes before the first position at which the sides differ or one has ended.
-    """
-    a = chosen.select(F.struct("pair_id", "pos").alias("at"), F.struct("role", "text").alias("a"))
-    b = rejected.select(F.struct("pair_id", "pos").alias("at"), F.struct("role", "text").alias("b"))
-    # structs are never null, so a null id joins too
-    both = a.join(b, "at", "full_outer").select("at.pair_id", "at.pos", "a", "b", (~F.col("a").eqNullSafe(F.col("b"))).alias("_differ"))
-    ends = both.groupBy("pair_id").agg(F.min(F.when(F.col("_differ"), F.col("pos"))).alias("_end"))
-    found = both.join(ends.withColumnRenamed("pair_id", "_p"), F.col("pair_id").eqNullSafe(F.col("_p"))).drop("_p")
-    common_ = F.col("_end").isNull() | (F.col("pos") < F.col("_end"))
-    parts = F.when(common_, F.array(F.struct(F.lit("prompt").alias("part"), F.col("a").alias("turn")))).otherwise(
-        F.filter(F.array(F.struct(F.lit("chosen").alias("part"), F.col("a").alias("turn")), F.struct(F.lit("rejected").alias("part"), F.col("b").alias("turn"))), lambda x: x["turn"].isNotNull())
-    )
-    return found.select("pair_id", "pos", F.explode(parts).alias("p")).select("pair_id", "p.part", "pos", "p.turn.role", "p.turn.text")
+def _head(role: Column) -> Column:
+    return F.length(F.concat(F.lit(OPEN), F.coalesce(role, F.lit("user")), F.lit("\n")))
 
 
 def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """One row for each turn of each part, in numbered turns (``positions``) of both sides:
-
-    pair_id, part, pos, role, rendered; char_start, char_end: its place in the part's rendered
-    text; train: whether it is trained on; mask_start, mask_end: the trained characters in the
-    part's rendered text (null where there are none). A part's text is its rows' ``rendered`` in
-    the order of pos.
-    """
-    parts = split(chosen, rejected).withColumn("rendered", render(F.col("role"), F.col("text")))
-    sized = parts.withColumn("_n", F.length("rendered").cast("long")).withColumn("_bucket", F.floor(F.col("pos") / TURN_BUCKET))
-    keyed = sized.withColumn("_none", F.col("pair_id").isNull()).withColumn("pair_id", F.coalesce("pair_id", F.lit(0).cast("long")))
-    out = common.running_total(keyed, ["_none", "pair_id", "part"], "_bucket", ["pos"], "_n", "char_start")
-    train = (F.col("part") != "prompt") & F.coalesce(F.col("role") == "assistant", F.lit(False))
-    head = F.length(F.concat(F.lit(OPEN), F.coalesce("role", F.lit("user")), F.lit("\n")))
-    return out.select(
-        F.when(~F.col("_none"), F.col("pair_id")).alias("pair_id"), "part", "pos", "role", "rendered", "char_start", (F.col("char_start") + F.col("_n")).alias("char_end"), train.alias("train"),
-        F.when(train, F.col("char_start") + head).alias("mask_start"), F.when(train, F.col("char_start") + F.col("_n") - 1).alias("mask_end"),
+    """One row for each pair and position of numbered turns (``positions``) of both sides: pair_id, pos;
+
+    in the common prefix prompt, its rendered turn, and prompt_start, its first character in the whole
+    prompt; after it chosen and rejected, either side's rendered turn (null where a side has ended),
+    with chosen_start, chosen_mask_start, chosen_mask_end (and rejected_ likewise): its first character and
+    the trained characters in that side's whole completion (null where there are none). A part's
+    text is its column's values in the order of pos."""
+    bucket = F.floor(F.col("pos") / TURN_BUCKET)
+    turn, nothing = F.struct("role", "text"), F.lit(None).cast("struct<role:string,text:string>")
+    sides = _keyed(chosen, bucket, "pos", turn.alias("a"), nothing.alias("b")).unionByName(_keyed(rejected, bucket, "pos", nothing.alias("a"), turn.alias("b")))
+    both = sides.repartition(*KEYS).groupBy(*KEYS, "pos").agg(F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"))
+    size = lambda x: F.when(F.col(x).isNotNull(), F.length(render(F.col(f"{x}.role"), F.col(f"{x}.text")))).otherwise(0).cast("long")
+    w = Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    sum_ = lambda x: F.coalesce(F.sum(size(x)).over(w), F.lit(0).cast("long"))
+    laid = both.select("*", size("a").alias("la"), size("b").alias("lb"), sum_("a").alias("ca"), sum_("b").alias("cb"), (~F.col("a").eqNullSafe(F.col("b"))).alias("differs"))
+    # one row a bucket: its characters, and its first difference; the prefix is as long on both sides
+    per = laid.groupBy(*KEYS).agg(F.sum("la").alias("sa"), F.sum("lb").alias("sb"), F.min(F.when(F.col("differs"), F.struct("pos", "ca"))).alias("d"))
+    per = per.select(*KEYS, _before("sa").alias("_a"), _before("sb").alias("_b"), F.col("d.pos").alias("d"), F.col("d.ca").alias("dc"))
+    first = F.min(F.struct(F.col("d").isNull(), "d", (F.col("_a") + F.col("dc")).alias("chars"))).over(Window.partitionBy("_none", "_pair"))
+    per = per.select(*KEYS, "_a", "_b", first.alias("_end")).select(*KEYS, "_a", "_b", F.col("_end.d").alias("_end"), F.col("_end.chars").alias("_chars"))
+    found = laid.join(per, KEYS)
+    common_ = F.col("_end").isNull() | (F.col("pos") < F.col("_end"))
+
+    def side(x: str, name: str) -> list[Column]:
+        there = ~common_ & F.col(x).isNotNull()
+        start = F.col(f"_{x}") + F.col(f"c{x}") - F.col("_chars")
+        train = there & F.coalesce(F.col(f"{x}.role") == "assistant", F.lit(False))
+        return [
+            F.when(there, render(F.col(f"{x}.role"), F.col(f"{x}.text"))).alias(name), F.when(there, start).alias(f"{name}_start"),
+            F.when(train, start + _head(F.col(f"{x}.role"))).alias(f"{name}_mask_start"), F.when(train, start + F.col(f"l{x}") - 1).alias(f"{name}_mask_end"),
+        ]
+
+    return found.select(
+        F.when(~F.col("_none"), F.col("_pair")).alias("pair_id"), "pos", F.when(common_, render(F.col("a.role"), F.col("a.text"))).alias("prompt"),
+        F.when(common_, F.col("_a") + F.col("ca")).alias("prompt_start"), *side("a", "chosen"), *side("b", "rejected"),
     )
 
 

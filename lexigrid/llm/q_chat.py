@@ -31,18 +31,21 @@ both_sides AS (
 ends AS (
   SELECT *, min(CASE WHEN NOT (has_a AND has_b AND role_a IS NOT DISTINCT FROM role_b AND text_a IS NOT DISTINCT FROM text_b) THEN pos END) OVER (PARTITION BY pair_id) AS stop
   FROM both_sides),
-parts AS (
-  SELECT pair_id, 'prompt' AS part, pos, role_a AS role, text_a AS text FROM ends WHERE stop IS NULL OR pos < stop
-  UNION ALL SELECT pair_id, 'chosen', pos, role_a, text_a FROM ends WHERE pos >= stop AND has_a
-  UNION ALL SELECT pair_id, 'rejected', pos, role_b, text_b FROM ends WHERE pos >= stop AND has_b),
 rendered AS (
-  SELECT *, '<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered,
-         part <> 'prompt' AND coalesce(role = 'assistant', false) AS train,
-         length('<|im_start|>' || coalesce(role, 'user') || chr(10)) AS head FROM parts),
+  SELECT *, stop IS NULL OR pos < stop AS shared, '<|im_start|>' || coalesce(role_a, 'user') || chr(10) AS head_a, '<|im_start|>' || coalesce(role_b, 'user') || chr(10) AS head_b,
+         '<|im_start|>' || coalesce(role_a, 'user') || chr(10) || coalesce(text_a, '') || '<|im_end|>' || chr(10) AS turn_a,
+         '<|im_start|>' || coalesce(role_b, 'user') || chr(10) || coalesce(text_b, '') || '<|im_end|>' || chr(10) AS turn_b FROM ends),
+sides AS (
+  SELECT pair_id, pos, CASE WHEN shared THEN turn_a END AS prompt, CASE WHEN NOT shared AND has_a THEN turn_a END AS chosen, CASE WHEN NOT shared AND has_b THEN turn_b END AS rejected,
+         length(head_a) AS head_a, length(head_b) AS head_b, role_a = 'assistant' AS train_a, role_b = 'assistant' AS train_b FROM rendered),
 placed AS (
-  SELECT *, CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start FROM rendered)
-SELECT pair_id, part, CAST(pos AS BIGINT) AS pos, role, rendered, char_start, char_start + CAST(length(rendered) AS BIGINT) AS char_end, train,
-       CASE WHEN train THEN char_start + CAST(head AS BIGINT) END AS mask_start, CASE WHEN train THEN char_start + CAST(length(rendered) AS BIGINT) - 1 END AS mask_end
+  SELECT *, CASE WHEN prompt IS NOT NULL THEN CAST(coalesce(sum(length(prompt)) OVER w, 0) AS BIGINT) END AS prompt_start,
+         CASE WHEN chosen IS NOT NULL THEN CAST(coalesce(sum(length(chosen)) OVER w, 0) AS BIGINT) END AS chosen_start,
+         CASE WHEN rejected IS NOT NULL THEN CAST(coalesce(sum(length(rejected)) OVER w, 0) AS BIGINT) END AS rejected_start
+  FROM sides WINDOW w AS (PARTITION BY pair_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT pair_id, CAST(pos AS BIGINT) AS pos, prompt, prompt_start, chosen, chosen_start, CASE WHEN train_a THEN chosen_start + CAST(head_a AS BIGINT) END AS chosen_mask_start,
+       CASE WHEN train_a THEN chosen_start + CAST(length(chosen) AS BIGINT) - 1 END AS chosen_mask_end, rejected, rejected_start,
+       CASE WHEN train_b THEN rejected_start + CAST(head_b AS BIGINT) END AS rejected_mask_start, CASE WHEN train_b THEN rejected_start + CAST(length(rejected) AS BIGINT) - 1 END AS rejected_mask_end
 FROM placed
 """
 

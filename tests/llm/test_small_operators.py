@@ -164,26 +164,52 @@ def turns(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], "pair_id long, turn long, role string, text string, part string")
 
 
+def check_pairs(chosen, rejected):
+    """Against Python: one prompt, both completions and the characters trained on, a pair at a time."""
+    sides, null = [], lambda x: (x is not None, x if x is not None else "")
+    for df in (chosen, rejected):
+        by = defaultdict(list)
+        for pair, *turn in {(r.pair_id, r.turn, r.role, r.text) for r in df.collect()}:
+            by[pair].append(turn)
+        sides.append({k: [t[1:] for t in sorted(v, key=lambda t: (t[0] is not None, t[0] or 0, null(t[1]), null(t[2])))] for k, v in by.items()})
+    show = lambda role, text: f"<|im_start|>{'user' if role is None else role}\n{text or ''}<|im_end|>\n"
+    got = defaultdict(list)
+    for r in chat.format_pairs(chat.positions(chosen), chat.positions(rejected)).orderBy("pos").collect():
+        got[r.pair_id].append(r)
+    assert got.keys() == sides[0].keys() | sides[1].keys()
+    for pair, rows in got.items():
+        a, b = (s.get(pair, []) for s in sides)
+        same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert [r.pos for r in rows] == list(range(max(len(a), len(b))))
+        for name, wanted in (("prompt", a[:same]), ("chosen", a[same:]), ("rejected", b[same:])):
+            held = [r for r in rows if r[name] is not None]
+            whole = "".join(r[name] for r in held)
+            assert whole == "".join(show(*t) for t in wanted) and len(held) == len(wanted)
+            for r, (role, text) in zip(held, wanted):
+                assert whole[r[f"{name}_start"] :].startswith(r[name])
+                if name != "prompt":
+                    lo, hi = r[f"{name}_mask_start"], r[f"{name}_mask_end"]
+                    assert (lo is not None) == (role == "assistant") and (lo is None or whole[lo:hi] == (text or "") + "<|im_end|>")
+
+
+def test_preference_pairs_of_long_conversations(spark, monkeypatch):
+    monkeypatch.setattr(chat, "TURN_BUCKET", 3)
+    rng = random.Random(4)
+    made = [(p, t, rng.choice(["user", "assistant", None]), rng.choice(["a", "b", "", None, "é" * 5])) for p in [*range(12), None] for t in range(rng.choice([0, 1, 5, 25]))]
+    other = [(p, t, role, text if rng.random() < 0.93 else "changed") for p, t, role, text in made if rng.random() < 0.98]
+    check_pairs(turns(spark, made), turns(spark, other))
+
+
 def test_preference_pairs(spark):
     chosen = turns(spark, [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes"), (2, 5, "user", None), (2, 9, "assistant", "a"), (3, 0, "user", "only"), (None, 0, None, "n"), (4, None, "system", "s"), (4, 0, "assistant", "")])
     rejected = turns(spark, [(1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 2, "user", "why"), (2, 0, "user", ""), (2, 1, "assistant", "a"), (3, 0, "user", "only"), (None, 0, None, "n"), (5, 0, "assistant", "new")])
-    got = defaultdict(list)
-    for r in chat.format_pairs(chat.positions(chosen), chat.positions(rejected)).orderBy("pos").collect():
-        got[r.pair_id, r.part].append(r)
-    text = {k: "".join(r.rendered for r in v) for k, v in got.items()}
-    assert text[1, "prompt"] == "<|im_start|>user\nhi<|im_end|>\n"
-    assert text[1, "chosen"] == "<|im_start|>assistant\nyes<|im_end|>\n" and text[1, "rejected"].endswith("why<|im_end|>\n")
-    assert (2, "prompt") not in text and len(got[2, "chosen"]) == 2  # a null text isn't an empty one
-    assert set(text) >= {(3, "prompt"), (None, "prompt"), (4, "chosen"), (5, "rejected")} and (3, "chosen") not in text and (5, "chosen") not in text
-    assert text[None, "prompt"] == "<|im_start|>user\nn<|im_end|>\n"
-    for k, of in got.items():
-        at = 0
-        for r in of:
-            assert (r.char_start, r.char_end) == (at, at + len(r.rendered))
-            at = r.char_end
-            assert r.train == (k[1] != "prompt" and r.role == "assistant")
-            if r.train:
-                assert text[k][r.mask_start : r.mask_end] == r.rendered.split("\n", 1)[1][:-1]
+    check_pairs(chosen, rejected)
+    rows = chat.format_pairs(chat.positions(chosen), chat.positions(rejected)).collect()
+    at = {(r.pair_id, r.pos): r for r in rows}
+    assert len(at) == len(rows) and at[1, 0].prompt == "<|im_start|>user\nhi<|im_end|>\n"
+    assert (at[1, 1].chosen, at[1, 1].rejected) == ("<|im_start|>assistant\nyes<|im_end|>\n", "<|im_start|>assistant\nno<|im_end|>\n") and at[1, 2].chosen is None
+    assert at[2, 0].prompt is None  # a null text isn't an empty one
+    assert at[None, 0].prompt == "<|im_start|>user\nn<|im_end|>\n" and at[4, 0].chosen and at[5, 0].rejected and not at[5, 0].chosen
     none = chat.positions(chosen.limit(0))
     assert chat.format_pairs(none, none).count() == 0
 
