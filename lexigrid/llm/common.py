@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,13 @@ _own: list[tempfile.TemporaryDirectory] = []
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Where the session has no such setting (a local run, tests) a temporary folder of this
-    process is used and removed at its end.
+    Where a local session has no such setting (tests) a temporary folder of this process is used and
+    removed at its end; on a cluster, whose machines would each see their own, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append(tempfile.TemporaryDirectory(prefix="lexigrid-"))
         base = "file://" + _own[0].name

@@ -105,13 +105,17 @@ def _packer(capacities, long_cost: float):
     return pack
 
 
-def pack(docs: DataFrame, *, capacities=CAPACITIES, long_cost: float = 65536.0, group_rows: int = 50_000) -> DataFrame:
-    """doc_id, piece, start, length, bin_id, capacity, bin_start for every piece of every text
-    of ``docs`` (doc_id, text): tokens start..start+length of the document lie at bin_start in
-    the bin. Bins of whole pieces have negative ids."""
-    top = max(capacities)
+def pack(docs: DataFrame, **options) -> DataFrame:
+    """``place`` for the texts of ``docs`` (doc_id, text), words and an end mark being the tokens."""
     folder = common.shared_dir(docs.sparkSession, "packing")
-    sized = common.table(docs.select("doc_id", (common.n_words(F.col("text")) + 1).alias("n")), folder, "sized")
+    return place(common.table(docs.select("doc_id", (common.n_words(F.col("text")) + 1).alias("n")), folder, "sized"), **options)
+
+
+def place(sized: DataFrame, *, capacities=CAPACITIES, long_cost: float = 65536.0, group_rows: int = 50_000) -> DataFrame:
+    """doc_id, piece, start, length, bin_id, capacity, bin_start for every piece of every row of a stored
+    table (doc_id, n): tokens start..start+length of the document lie at bin_start in
+    the bin. Bins of whole pieces have negative ids; a row without tokens has no piece."""
+    top = max(capacities)
     groups = max(1, math.ceil(sized.count() / group_rows))
     whole = (
         sized.where(F.col("n") >= top)
@@ -125,3 +129,25 @@ def pack(docs: DataFrame, *, capacities=CAPACITIES, long_cost: float = 65536.0,
     )
     parts = rest.repartition(groups).mapInPandas(_packer(tuple(capacities), long_cost), SCHEMA)
     return whole.unionByName(parts.withColumn("doc_id", F.col("doc_id").cast("long")))
+
+
+def pack_tokens(tokens: DataFrame, *, pad_id: int = 0, **options) -> DataFrame:
+    """Packed sequences of ``tokens`` (doc_id, ids), such as the id store gives back: a row a bin with
+
+    bin_id, capacity, tokens (filled up with ``pad_id``); positions, which begin at 0 in each piece; segments,
+    1 for the first piece, 2 for the next, 0 for the filling, so attention can stop at document boundaries;
+    doc_ids and starts (in the document) of the pieces. Null ids are none; repeated rows are packed
+    once each. A bin is gathered in one row, which its capacity bounds."""
+    folder = common.shared_dir(tokens.sparkSession, "packing")
+    rows = common.table(tokens.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")), folder, "tokens")
+    placed = place(rows.select(F.col("rid").alias("doc_id"), F.size("ids").cast("long").alias("n")), **options).withColumnRenamed("doc_id", "rid")
+    pieces = placed.join(rows, "rid").select("bin_id", "capacity", F.struct("bin_start", "doc_id", "start", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("ids")).alias("p"))
+    bins = pieces.groupBy("bin_id", "capacity").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    used = F.size(F.flatten("p.ids"))
+    filled = lambda x, by: F.concat(x, F.array_repeat(F.lit(by), (F.col("capacity") - used).cast("int")))
+    return bins.select(
+        "bin_id", "capacity", filled(F.flatten("p.ids"), pad_id).alias("tokens"),
+        filled(F.flatten(F.transform("p", lambda p: F.sequence(F.lit(0), F.size(p["ids"]) - 1))), 0).alias("positions"),
+        filled(F.flatten(F.transform("p", lambda p, k: F.array_repeat(k + 1, F.size(p["ids"])))), 0).alias("segments"),
+        F.col("p.doc_id").alias("doc_ids"), F.col("p.start").alias("starts"),
+    )
