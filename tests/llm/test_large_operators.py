@@ -1,6 +1,7 @@
 """Near copies, the id store and context trees against brute force, and the pipeline's stages."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -48,6 +49,45 @@ def test_jaccard(rows, joined):
     assert sum(bool(x) for x in linked) > 8
 
 
+def similar_texts(seed):
+    """Groups of edited copies on both sides of the threshold, a passage that most share, parts of each other, short ones."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 2, 3])))
+    shared = [word() for _ in range(25)]
+    texts = []
+    for size in (1, 2, 12, 30):
+        base = [word() for _ in range(rng.choice([40, 90, 160]))]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 4, 6, 9])):
+                w[rng.randrange(len(w))] = word()
+            if rng.random() < 0.3:
+                w = w[: int(len(w) * rng.choice([0.6, 0.7, 0.72, 0.85]))]
+            texts.append(" ".join((w[:10] + shared + w[10:]) if rng.random() < 0.5 else w))
+    texts += [" ".join([*shared, *(word() for _ in range(rng.choice([0, 3, 5])))]) for _ in range(15)]
+    texts += [" ".join(word() for _ in range(rng.choice([0, 1, 2, 3, 4, 60]))) for _ in range(30)]
+    return [(i * 3 + 1, t) for i, t in enumerate(texts + texts[:5])]
+
+
+@pytest.mark.parametrize(("seed", "percent", "broadcast"), [(1, 70, True), (2, 70, False), (3, 50, True), (4, 90, True)])
+def test_jaccard_of_groups(spark, monkeypatch, seed, percent, broadcast):
+    for name, value in {"BLOCK": 4, "SHINGLE_BUCKETS": 6, "WORD_BUCKETS": 5, **({} if broadcast else {"BROADCAST_BYTES": 0})}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    made = similar_texts(seed)
+    sets = {d: shingles(t) for d, t in made}
+    links = {d: {e for e, b in sets.items() if e != d and a and b and 100 * len(a & b) >= percent * len(a | b)} for d, a in sets.items()}
+    wanted = set()
+    for d in sets:
+        seen, todo = {d}, [d]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        wanted.add((d, len(sets[d]), len(links[d]), min(seen)))
+    got = jaccard.join(spark.createDataFrame(made, "doc_id long, text string"), percent=percent)
+    assert {tuple(r) for r in got.collect()} == wanted and sum(map(len, links.values())) > 30
+
+
 def test_one_of_each_group(docs, joined, empty):
     kept = jaccard.one_of_each_group(docs)
     assert kept.columns == docs.columns
@@ -73,8 +113,6 @@ def tokenizer():
 
 
 def test_encoder_is_the_tokenizer(tokenizer):
-    import random
-
     encoder, rng = idstore.Encoder(tokenizer, 1), random.Random(2)
     assert encoder.direct
     for letters in ("aAbB'sS tTdDmrReEvVlLéÉßÿÖ÷×µªº ​ 　\x1c\x85\n\t!?.,<|endoftext|>12٣ﬁ漢👍🏽\x00½İΣς`~", "aAbBsStTdDmrRlL!.''éÉß12 \n"):
@@ -184,6 +222,16 @@ def test_context_trees(docs, rows, empty, monkeypatch):
     assert ctw.score(empty, F.lit(False)).count() == 0
 
 
+def test_context_trees_of_full_depth_and_a_long_text(spark, rows):
+    long = next(r[1] for r in rows if r[0] == 81)[:15_000]
+    made = [(1, "abra cadabra " * 20), (2, "Abra cadabra abra"), (3, long), (4, long[3000:5000]), (5, "")]
+    got = {r.doc_id: r for r in ctw.score(spark.createDataFrame(made, "doc_id long, text string"), F.col("doc_id") == 4).collect()}
+    low = [t.encode().lower() for _, t in made]
+    for (doc, _), s in zip(made, slow_log10([t for (d, _), t in zip(made, low) if d != 4], low, ctw.DEPTH)):
+        assert got[doc].score == pytest.approx(s, rel=1e-5, abs=1e-5)
+    assert -got[3].score < 0.7 * math.log10(256) * len(low[2])  # it learnt
+
+
 def test_probabilities_add_up():
     train = [b"abab abba", b"baab"]
     rest = [bytes(x) for x in product(range(256), repeat=1)]

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,29 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packed_tokens(spark, docs):
+    rng = random.Random(6)
+    made = [(i, [rng.randint(1, 999) for _ in range(rng.choice([1, 5, 30, 64, 65, 300]))]) for i in range(60)] + [(7, [1, 2]), (None, [3]), (8, []), (9, None)]
+    tokens = spark.createDataFrame(made, "doc_id long, ids array<int>")
+    found = packing.pack_tokens(tokens, capacities=(16, 32, 64), group_rows=25, pad_id=-1).collect()
+    assert len({r.bin_id for r in found}) == len(found)
+    pieces = defaultdict(list)
+    for r in found:
+        assert len(r.tokens) == len(r.positions) == len(r.segments) == r.capacity
+        at = 0
+        for k, (doc, start) in enumerate(zip(r.doc_ids, r.starts), 1):
+            end = at + r.segments.count(k)
+            assert r.segments[at:end] == [k] * (end - at) and r.positions[at:end] == list(range(end - at))
+            pieces[doc].append((start, tuple(r.tokens[at:end])))
+            at = end
+        assert r.tokens[at:] == [-1] * (r.capacity - at) and not any(r.segments[at:]) and (r.capacity == 16 or at > r.capacity // 2)
+    wanted = defaultdict(list)
+    for doc, ids in made:
+        wanted[doc] += [(k, tuple(ids[k : k + 64])) for k in range(0, len(ids or []), 64)]
+    assert {k: sorted(v) for k, v in pieces.items()} == {k: sorted(v) for k, v in wanted.items() if v}
+    assert packing.pack_tokens(tokens.limit(0)).count() == 0
+
+
 # -- classifier
 
 
@@ -131,6 +155,19 @@ def test_quality(spark, docs, empty):
     assert quality.score(empty, forest).count() == 0
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the test tables")
+def test_held_out_accuracy(spark):
+    """On labelled documents that the classifier never saw."""
+    from lexigrid.llm import q_quality
+
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    got = q_quality.op3_quality(spark, d).where("held_out").join(labels, "doc_id").collect()
+    right = sum(r.predicted == r.quality for r in got) / len(got)
+    good = sum(r.quality for r in got) / len(got)
+    assert len(got) > 80 and right >= 0.95 and right > max(good, 1 - good) + 0.05
+
+
 # -- archive
 
 
