@@ -24,7 +24,7 @@ class PatternError(ValueError):
 
 @dataclass(frozen=True)
 class Place:
-    """kind: word, any, edge or parts; value: the word, or the three parts with None for any."""
+    """kind: word, words, any, edge or parts; value: the word, the words (any of them), or the three parts with None for any."""
 
     kind: str
     value: str | tuple[str | None, ...] | None = None

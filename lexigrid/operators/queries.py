@@ -19,6 +19,8 @@ def _matches(place: patterns.Place, c: Column) -> Column:
         return c == EDGE
     if place.kind == "word":
         return c == place.value
+    if place.kind == "words":
+        return c.isin(*place.value)
     if all(place.value):
         return c == "|".join(place.value)
     known = [(k, v) for k, v in enumerate(place.value) if v is not None]

@@ -131,6 +131,12 @@ def vocabulary(held: DataFrame) -> DataFrame:
     return word.select(*part).groupBy("classification", "lemma", "inflexion").agg(F.count("*").alias("frequency"))
 
 
+def vocabulary_of(grams: DataFrame) -> DataFrame:
+    """The same from a part-of-speech table of n-grams: every word begins one window."""
+    part = [F.split_part("w0", F.lit("|"), F.lit(k + 1)).alias(c) for k, c in enumerate(("classification", "lemma", "inflexion"))]
+    return shorten(grams, 1).select(*part, "frequency")
+
+
 def placed(rows: DataFrame, order: list, folder: str) -> DataFrame:
     """``rows`` with their ``place``, from 1, in ``order``: sorted by ranges into ``folder``, each range's rows
     then counted on from the ranges before it. No task sees all rows."""

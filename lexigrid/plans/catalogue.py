@@ -188,6 +188,7 @@ _search("search_wild_mid", "the * of", 0, "w0 = 'the' AND w2 = 'of'")
 _search("search_wild_lead", "* the", 1, "w1 = 'the'")
 _search("search_null", "the $", 0, "w0 = 'the' AND w1 = '$'")
 _search("search_normalised", "The 'OF'", 0, "w0 = 'the' AND w1 = 'of'")
+_search("search_folded", "FÜR *", 0, "w0 = 'fu' || chr(776) || 'r'")
 _query("search_rollup", f"{_anchored(2, 0, _DOCS)}\nSELECT * FROM grams WHERE w0 = 'the'")(lambda spark, d: Q.ranked(Q.search(W.table(documents(spark, d), 4), "the *")))
 
 # -- entropy and lengths
@@ -332,6 +333,16 @@ _query("entropy_catalog", "SELECT * FROM (VALUES (2, '* ='), (2, '= *'), (3, '=
 )
 
 
+def _stored_pos(spark: SparkSession, d: str) -> Catalog:
+    catalog = Catalog(spark, f"{storage.scratch(spark, 'catalogs')}/tagged")
+    catalog.add(NgramTable(W.table(tagged(spark, d), 2), pos=True), "tagged", top=False)
+    return catalog
+
+
+_query("stored_pos_partial", f"{_anchored(2, 1, _TAGGED)}\nSELECT * FROM grams WHERE split_part(w1, '|', 1) = 'en' AND split_part(w1, '|', 2) = 'of'")(lambda spark, d: _stored_pos(spark, d).search("* [en|of|*]"))
+_query("stored_pos_lemma", f"{_anchored(2, 0, _TAGGED)}\nSELECT * FROM grams WHERE split_part(w0, '|', 2) = 'the'")(lambda spark, d: _stored_pos(spark, d).search("[*|the|*] *"))
+
+
 def _numbered(grams: DataFrame) -> DataFrame:
     return grams.withColumn("row", F.monotonically_increasing_id())
 

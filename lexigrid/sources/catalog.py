@@ -24,6 +24,10 @@ from ..operators import queries as Q
 from ..operators import windows as W
 
 VERSION = 2
+#: The orders of a tagged corpus's vocabulary; any known part is the first of one of them.
+SUPPLEMENTS = (("classification", "lemma", "inflexion"), ("lemma", "inflexion", "classification"), ("inflexion", "classification", "lemma"))
+#: A partial place that stands for at most so many words is searched for as these words; with more it stays a filter.
+EXPAND = 1000
 
 
 def _name(order: Iterable[int]) -> str:
@@ -37,7 +41,7 @@ def _bits(pattern: str) -> str:
 
 
 def _exact(place: patterns.Place) -> bool:
-    return place.kind == "word" or (place.kind == "parts" and bool(place.value) and all(place.value))
+    return place.kind in ("word", "words") or (place.kind == "parts" and bool(place.value) and all(place.value))
 
 
 def known_prefix(places: list[patterns.Place], order: Iterable[int]) -> int:
@@ -72,6 +76,8 @@ class Catalog:
         bits = {int(r.b): r.n for r in stored.grams.where("w0 <> '$'").groupBy(F.floor(F.log2("frequency")).alias("b")).agg(F.count("*").alias("n")).collect()}  # 63 rows at most
         if top:
             Q.inverted(stored.grams, tuple(range(n))).write.parquet(f"{root}/by_frequency")
+        for order in SUPPLEMENTS if table.pos else ():
+            W.vocabulary_of(stored.grams).orderBy(*order).write.parquet(f"{root}/vocabulary_{'_'.join(c[0] for c in order)}")
         for pattern in entropies:
             Q.entropy_sorted(Q.entropy_index(stored.grams, pattern), pattern).write.parquet(f"{root}/entropy_{_bits(pattern)}")
         entry = {
@@ -123,6 +129,18 @@ class Catalog:
 
     # -- queries
 
+    def _expanded(self, entry: dict, place: patterns.Place) -> patterns.Place:
+        """A partial place as the words of the vocabulary that it stands for, where these are few."""
+        if place.kind != "parts" or all(place.value):
+            return place
+        known = {c: v for c, v in zip(SUPPLEMENTS[0], place.value) if v is not None}
+        order = next(o for o in SUPPLEMENTS if set(o[: len(known)]) == set(known))  # so the probe is a prefix of a sorted table
+        rows = self._stored(entry, f"vocabulary_{'_'.join(c[0] for c in order)}")
+        for c, v in known.items():
+            rows = rows.where(F.col(c) == v)
+        words = [r[0] for r in rows.select(F.concat_ws("|", *SUPPLEMENTS[0])).limit(EXPAND + 1).collect()]
+        return patterns.Place("words", tuple(words)) if len(words) <= EXPAND else place
+
     def found(self, pattern: str) -> DataFrame:
         """What ``pattern`` matches, unordered, from the stored order of columns that begins with most of its words."""
         size = len(patterns.split(pattern))
@@ -131,6 +149,8 @@ class Catalog:
         places = patterns.parse(self.spark, pattern, entry["pos"])
         if places is None:
             return Q.search(grams, pattern, entry["pos"])
+        if entry["pos"]:
+            places = [self._expanded(entry, p) for p in places]
         best = max(map(lambda x: tuple(map(int, x.split("_"))), entry["indexes"]), key=lambda o: known_prefix(places, o), default=())
         if known_prefix(places, best) > known_prefix(places, range(entry["n"])):
             # an index leaves out only windows with an edge in its first column

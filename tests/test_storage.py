@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lexigrid.engine import NgramEngine
 from lexigrid.operators import windows as W
+from lexigrid.sources import catalog as catalogs
 from lexigrid.sources import corpus
 from lexigrid.sources.catalog import Catalog, Catalogs
 from lexigrid.streaming.counts import running_counts
@@ -120,7 +121,7 @@ def test_catalog(spark, table, tmp_path):
     assert [(r.corpus, r.n) for r in Catalogs(spark, f"file://{tmp_path}/all").list_all().collect()] == [("cat", 2)]
 
 
-def test_access_path_of_longer_patterns(spark, tmp_path):
+def test_access_path_of_longer_patterns(spark, tmp_path, monkeypatch):
     rng = random.Random(5)
     docs = spark.createDataFrame([(i, " ".join(rng.choice("abcd") for _ in range(30))) for i in range(10)], "doc_id long, text string")
     engine = NgramEngine(spark)
@@ -136,8 +137,14 @@ def test_access_path_of_longer_patterns(spark, tmp_path):
     pos = Catalog(spark, f"file://{tmp_path}/p")
     tagged = engine.from_text(spark.createDataFrame([(0, lines)], "doc_id long, text string"), 2, pos=True)
     pos.add(tagged, "tagged")
-    for pattern, index in {"* [nn|cat|cats]": "by_1_0", "[dt|the|the] *": "grams", "* [nn|cat|*]": "grams"}.items():
-        assert index in str(pos.found(pattern).inputFiles()) and counted(pos.search(pattern)) == counted(tagged.search(pattern))
+    for pattern, index in {"* [nn|cat|cats]": "by_1_0", "[dt|the|the] *": "grams", "* [nn|cat|*]": "by_1_0", "* cats": "by_1_0", "[*|*|cat] [*|cat|*]": "grams", "$ [nn|*|*]": "by_1_0", "* [xx|*|*]": "by_1_0"}.items():
+        assert index in str(pos.found(pattern).inputFiles()) or pattern == "* [xx|*|*]"
+        assert counted(pos.search(pattern)) == counted(tagged.search(pattern)), pattern
+    assert "In(w1, [nn|cat|cat,nn|cat|cats])" in plan_of(pos.found("* [nn|cat|*]")) or "In(w1, [nn|cat|cats,nn|cat|cat])" in plan_of(pos.found("* [nn|cat|*]"))
+    monkeypatch.setattr(catalogs, "EXPAND", 1)
+    assert "grams" in str(pos.found("* [nn|cat|*]").inputFiles()) and counted(pos.search("* [nn|cat|*]")) == counted(tagged.search("* [nn|cat|*]"))
+    pos.add(tagged, "tagged", first=1, howmany=1)
+    assert pos.entries()[2]["indexes"] == ["1_0"]
 
 
 def test_places(spark, tmp_path):
