@@ -31,10 +31,8 @@ LATER = _HYPHEN + _DIACRITIC
 
 
 def nfkd(word: Column) -> Column:
-    """Compatibility decomposition, by the ICU library that Spark itself brings along; ASCII words
-    never get there."""
-    folded = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), word, F.lit(True))
-    return F.when(F.octet_length(word) != F.length(word), folded).otherwise(word)
+    """Compatibility decomposition, by the ICU library that Spark itself brings along."""
+    return F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), word, F.lit(True))
 
 
 def clean(text: Column) -> Column:
@@ -48,10 +46,10 @@ def clean(text: Column) -> Column:
 
 
 def limited(word: Column, limit: int) -> Column:
-    """Normalised, or null where it is too long before or after that."""
+    """NFKD-normalised, or null where it is too long before or after that; ASCII words are as they are."""
     # through an array: a lambda's argument is computed once, a repeated expression each time
-    short = F.array(F.when(F.octet_length(word) <= limit, nfkd(word)))
-    return F.get(F.transform(short, lambda x: F.when(F.octet_length(x) <= limit, x)), F.lit(0))
+    folded = F.get(F.transform(F.array(nfkd(word)), lambda x: F.when(F.octet_length(x) <= limit, x)), F.lit(0))
+    return F.when(F.octet_length(word) <= limit, F.when(F.octet_length(word) == F.length(word), word).otherwise(folded))
 
 
 def words(text: Column) -> Column:
@@ -69,23 +67,28 @@ def _section(token: Column) -> Column:
     return F.struct(clean(token).alias("text"), token.rlike(r"^[^\p{IsAlphabetic}<]*<").alias("tag"))
 
 
-def pos_word(line: Column) -> Column:
-    """For a line "word type lemma": struct(kind, token): kind is "word", "null" (breaks the segment)
-    or "none" (a line to be ignored); token is "type|lemma|word".
+def _pos_word(line: Column, cleaned: Column) -> Column:
+    """For a line "word type lemma" and what clean() leaves of it: struct(n, more, i, c, l): how many
+    sections, whether something follows the last, and the word, type and lemma, null where lost.
 
     Sections without kept characters vanish, so what follows moves to the left. A tag, an over-long
     part, or anything after the lemma (even a blank) makes a null word. Fewer than three sections
     make no word, unless the word or the type has already overflowed.
     """
-    # In two steps: a lambda computes a repeated expression anew each time, but not its argument.
-    part = lambda x, k, limit: F.when(~F.get(x["s"], F.lit(k))["tag"], limited(F.get(x["s"], F.lit(k))["text"], limit))
-    split = F.transform(F.array(line), lambda x: F.struct(F.filter(F.transform(F.split(x, f"[ {SPACE}]+"), _section), lambda s: s["tag"] | (s["text"] != "")).alias("s"), x.rlike(f"{SPACE}$").alias("more")))
-    parts = F.transform(split, lambda x: F.struct(F.size(x["s"]).alias("n"), x["more"].alias("more"), part(x, 0, LIMITS.word).alias("i"), part(x, 1, LIMITS.classification).alias("c"), part(x, 2, LIMITS.lemma).alias("l")))
-    return F.get(parts, F.lit(0))
+    tagged = F.filter(F.transform(F.split(line, f"[ {SPACE}]+"), _section), lambda s: s["tag"] | (s["text"] != ""))
+    plain = F.transform(F.filter(F.split(cleaned, " "), lambda s: s != ""), lambda s: F.struct(s.alias("text"), F.lit(False).alias("tag")))
+    return F.struct(F.when(line.contains("<"), tagged).otherwise(plain).alias("s"), F.substring(line, -1, 1).rlike(SPACE).alias("more"))
 
 
 def pos_words(lines: Column) -> Column:
-    """The words of an array of part-of-speech lines, like words()."""
+    """The words of an array of part-of-speech lines, like words(). All lines are cleaned together, line
+    ends staying where they are; only a line that holds a "<" is looked at section by section."""
+    # a line end inside a line is white space like any other
+    each = F.transform(lines, lambda x: F.translate(F.coalesce(x, F.lit("")), "\n", " "))
+    blank = F.regexp_replace(clean(F.array_join(each, "\n")), rf"[{SPACE}&&[^\n ]]", " ")
+    # In steps: a lambda computes a repeated expression anew each time, but not its argument.
+    part = lambda x, k, limit: F.when(~F.get(x["s"], F.lit(k))["tag"], limited(F.get(x["s"], F.lit(k))["text"], limit))
+    parts = lambda x: F.struct(F.size(x["s"]).alias("n"), x["more"].alias("more"), part(x, 0, LIMITS.word).alias("i"), part(x, 1, LIMITS.classification).alias("c"), part(x, 2, LIMITS.lemma).alias("l"))
 
     def judge(p: Column) -> Column:
         lost = F.when(p["n"] >= 1, p["i"].isNull()).otherwise(F.lit(False)) | F.when(p["n"] >= 2, p["c"].isNull()).otherwise(F.lit(False))
@@ -93,4 +96,5 @@ def pos_words(lines: Column) -> Column:
         token = F.when(whole, F.concat_ws("|", p["c"], p["l"], p["i"]))
         return F.struct(((p["n"] >= 3) | lost).alias("counts"), token.alias("token"))
 
-    return F.transform(F.filter(F.transform(F.transform(lines, pos_word), judge), lambda x: x["counts"]), lambda x: x["token"])
+    found = F.zip_with(each, F.split(blank, "\n"), lambda x, c: _pos_word(F.coalesce(x, F.lit("")), c))
+    return F.transform(F.filter(F.transform(F.transform(found, parts), judge), lambda x: x["counts"]), lambda x: x["token"])
