@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,14 @@ def table(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def drop(folder: str, *names: str) -> None:
+    """Removes tables that nothing reads again."""
+    fs, base = FileSystem.from_uri(folder)
+    for name in names:
+        if fs.get_file_info(f"{base}/{name}").type == FileType.Directory:
+            fs.delete_dir(f"{base}/{name}")
+
+
 def words(text: Column, lower: bool = False) -> Column:
     """The maximal runs of characters other than SPACES, in order; null for a null text.
     ``lower`` also maps A-Z (and nothing else) to a-z."""

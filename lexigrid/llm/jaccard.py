@@ -99,12 +99,13 @@ def shingles(docs: DataFrame, word_ranks: list[int]) -> DataFrame:
     """doc_id, h: the distinct 3-word shingles (none for texts without words), as HASH_BITS of hash
     below WORD_BITS that add up the ranks of the words."""
     rank = _rank(word_ranks, WORD_BUCKETS)
-    each = hashed_words(docs).select("doc_id", _once(F.transform("w", lambda x: F.struct(x.alias("h"), rank(x).alias("r")))).alias("w"))
+    low, high = (1 << HASH_BITS) - 1, ((1 << WORD_BITS) - 1) << HASH_BITS
+    each = hashed_words(docs).select("doc_id", _once(F.transform("w", lambda x: x.bitwiseAND(low) + F.shiftleft(rank(x), HASH_BITS))).alias("w"))
     w, n = F.col("w"), F.size("w")
-    known = lambda h, r: F.shiftleft(r, HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
-    at = lambda i: F.get(w, i)
-    three = F.transform(F.slice(w, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda x, i: known(F.xxhash64(x["h"], at(i + 1)["h"], at(i + 2)["h"]), x["r"] + at(i + 1)["r"] + at(i + 2)["r"]))
-    whole = F.when(n > 0, F.array(known(F.xxhash64(F.lit("short"), n, at(F.lit(0))["h"], at(F.lit(1))["h"]), F.lit(0).cast("long")))).otherwise(F.array().cast("array<bigint>"))
+    both = lambda x, y: F.xxhash64(x, y).bitwiseAND(low) + x.bitwiseAND(high) + y.bitwiseAND(high)
+    of = lambda first: F.slice(w, F.lit(first), F.greatest(n - 2, F.lit(0)))
+    three = F.zip_with(F.zip_with(of(1), of(2), both), of(3), both)  # plain numbers: no rows, no lookups by place
+    whole = F.when(n > 0, F.array(F.xxhash64(F.lit("short"), n, F.get(w, F.lit(0)), F.get(w, F.lit(1))).bitwiseAND(low))).otherwise(F.array().cast("array<bigint>"))
     return each.select("doc_id", _once(F.array_distinct(F.when(n >= 3, three).otherwise(whole))).alias("h"))
 
 
@@ -262,6 +263,7 @@ def join(docs: DataFrame, *, percent: int = 70) -> DataFrame:
     segments = again.select("rep", F.explode(cut(F.col("keys"), edges(again))).alias("s")).select("rep", "s.fragment", "s.seg")
     linked = overlaps(pairs, segments, folder).where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
     links = common.table(linked.select("a", "b"), folder, "linked")
+    common.drop(folder, "several", "heads", "pairs", "needed", "sets", "members")  # the links are all that is left of them
 
     named = ids.select(rep.alias("v"), "first", "members")
     label = components(links, folder)
