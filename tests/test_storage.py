@@ -10,7 +10,7 @@ import __spark_entry__
 from lexigrid.engine import NgramEngine
 from lexigrid.operators import windows as W
 from lexigrid.sources import catalog as catalogs
-from lexigrid.sources import corpus
+from lexigrid.sources import corpus, storage
 from lexigrid.sources.catalog import Catalog, Catalogs
 from lexigrid.streaming.counts import running_counts
 
@@ -165,3 +165,18 @@ def test_stream(spark, tmp_path):
 def test_entry_points():
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) >= 40 and all(map(callable, queries.values()))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        conf: dict = {}
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        Session.sparkContext.master = master
+        with pytest.raises(ValueError, match="checkpoint"):
+            storage.scratch(Session, "x")
+    Session.conf = {"spark.checkpoint.dir": "hdfs:///shared/"}
+    assert storage.scratch(Session, "x").startswith("hdfs:///shared/x-")
