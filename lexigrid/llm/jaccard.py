@@ -253,6 +253,8 @@ def join(docs: DataFrame, *, percent: int = 70) -> DataFrame:
     several = _beside(ids.where("members > 1").select("h1", "h2", "first"), folder, "several")
     reps = rows.where("n > 0 AND doc_id IS NOT NULL").join(several, ["h1", "h2"], "left").where("first IS NULL OR doc_id = first")
     pairs = common.table(candidates(heads(reps.select(rep.alias("rep"), "n", "head"), percent, folder), percent), folder, "pairs")
+    rows = common.table(rows.select("doc_id", "n", "h1", "h2"), folder, "rows")
+    common.drop(folder, "classes", "several", "heads")  # heads of sets are the most of what is stored
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     texts = docs.join(_beside(ids.select(F.col("first").alias("doc_id"), rep.alias("rep")).join(needed, "rep"), folder, "needed"), "doc_id")
@@ -263,7 +265,7 @@ def join(docs: DataFrame, *, percent: int = 70) -> DataFrame:
     segments = again.select("rep", F.explode(cut(F.col("keys"), edges(again))).alias("s")).select("rep", "s.fragment", "s.seg")
     linked = overlaps(pairs, segments, folder).where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
     links = common.table(linked.select("a", "b"), folder, "linked")
-    common.drop(folder, "several", "heads", "pairs", "needed", "sets", "members")  # the links are all that is left of them
+    common.drop(folder, "pairs", "needed", "sets", "members")  # the links are all that is left of them
 
     named = ids.select(rep.alias("v"), "first", "members")
     label = components(links, folder)
