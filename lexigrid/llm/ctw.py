@@ -18,7 +18,7 @@ corpus. Word counts go the same way. Chunk files have a name of their own for ea
 task, and only rows of the attempt that succeeded name them.
 
 Defined results: a null or empty text has one token, its end, and is scored by the end's
-probability; rows that repeat a doc_id are texts each; without any training text every bit has
+probability; a text of any length belongs to one chunk, as a whole; rows that repeat a doc_id are texts each; without any training text every bit has
 probability 1/2 and base_score is 0 (V and N being 0, c + 1 over N + V + 1 is 1); an empty table
 gives an empty result. Other columns are ignored.
 """
