@@ -117,18 +117,14 @@ def integers(vector: Column, scale: int) -> Column:
 def topk(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``vectors`` (vec_id, embedding) for each row of them that ``is_query`` holds for."""
     spark = vectors.sparkSession
-    ready = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    ready = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("row"))
     ready = common.table(ready.where("vec_id IS NOT NULL AND v IS NOT NULL"), common.shared_dir(spark, "topk"), "vectors")
     n, asked = ready.agg(F.count("*"), F.count_if("asks")).first()
     ranges = max(math.ceil(n / RANGE_ROWS), min(spark.sparkContext.defaultParallelism, math.ceil(n / 2048)), 1)
     groups = max(math.ceil(asked / GROUP_ROWS), 1)
-    # ranges of ids: one row a range edge comes to the driver
-    edges = ready.agg(F.percentile_approx("vec_id", [i / ranges for i in range(1, ranges + 1)], 100_000)).first()[0] if n else []
-    cut = F.lit(0)
-    if ranges > 1:
-        limits = F.array(*[F.lit(int(e)) for e in edges[:-1]])
-        cut = F.size(F.filter(limits, lambda e: e < F.col("vec_id")))
-    left = ready.select("vec_id", "v", cut.alias("range"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    # ranges of ids; rows of one id may be parted, so none makes a large task
+    left = ready.repartitionByRange(ranges, "vec_id", "row").select("vec_id", "v", F.spark_partition_id().alias("range"))
+    left = left.select("vec_id", "v", "range", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     query = F.xxhash64("vec_id", "v")
     right = ready.where("asks").select("vec_id", "v", query.alias("query")).distinct()
     right = right.select("vec_id", "v", "query", F.pmod("query", F.lit(groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("range"))
