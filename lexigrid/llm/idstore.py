@@ -61,6 +61,18 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-ö
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 
 
+class _Known(dict):
+    """Id bytes by word; what is missing is made when it is first asked for."""
+
+    def __init__(self, make):
+        super().__init__({"": b""})
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.make(word)
+        return found
+
+
 class Encoder:
     """Text to id bytes. Only what lies between blanks and line ends is encoded, each such word once;
     the tokenizer must drop white space and never join words across it, as word-level BPE does.
@@ -91,7 +103,7 @@ class Encoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte_chars = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
         self.end = np.array([end_id], dtype).tobytes()
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = _Known(self._word)
         self.pieces: dict[str, bytes] = {}
         for mark in "½²³¼¾¹0":
             ids = self._ids(mark)
@@ -113,16 +125,20 @@ class Encoder:
             self.pieces[piece] = self._pack([t.id for t in self.model.tokenize(text)])
         return self.pieces[piece]
 
+    def _word(self, w: str) -> bytes:
+        if self.direct:
+            if w.isascii():  # most words are letters, with a sign behind them or none
+                if w.isalpha():
+                    return self._piece(w.lower())
+                if w[:-1].isalpha() and "!" <= w[-1] <= "~":
+                    return self._piece(w[:-1].lower()) + self._piece(w[-1])
+            if PLAIN.fullmatch(w) and "<|" not in w:
+                return b"".join(map(self._piece, PIECES.findall(w.lower())))
+        return self._pack(self._ids(w))
+
     def learn(self, words: list[str]) -> None:
-        rest = []
-        for w in words:
-            if self.direct and PLAIN.fullmatch(w) and "<|" not in w:
-                found = PIECES.findall(w.lower())
-                self.known[w] = self._piece(found[0]) if len(found) == 1 else b"".join(map(self._piece, found))
-            elif self.mark in w or "<|" in w:
-                self.known[w] = self._pack(self._ids(w))
-            else:
-                rest.append(w)
+        """Words that need the whole tokenizer, many at a time."""
+        rest = [w for w in words if not (self.mark in w or "<|" in w or (self.direct and PLAIN.fullmatch(w)))]
         for first in range(0, len(rest), 500):
             some = rest[first : first + 500]
             ids = np.array(self._ids(f" {self.mark} ".join(some)), self.dtype)
@@ -138,13 +154,24 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            self.learn(list(new))
+        other = [words for words, t in zip(split, texts) if t and not (self.direct and _latin(t))]
+        if other:
+            self.learn(list(set().union(*other).difference(self.known)))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) + self.end for words in split]
 
 
+def _latin(text: str) -> bool:
+    """Whether no character lies beyond Latin-1."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def chunk_ends(ids: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
     """For documents that lie end to end in ``ids``: where their chunks end, counted from each one's start.
     The hash of a position covers the WINDOW ids up to it, of this document only."""
