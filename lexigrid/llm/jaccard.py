@@ -14,7 +14,14 @@
 4. The rest of each head is ordered anew, by that count, and a prefix of it makes candidate pairs.
    A pair is named at its first common key: a later one is passed over when the two have one of
    the four keys before it in common too, so near copies don't meet once for each passage.
-5. The whole global order is cut into fragments of about equal weight. Pairs are laid into blocks
+   Large groups of near copies make stars: a class goes with the class that leads most of its keys
+   that LARGE or more hold. Keys make candidates between stars, and of classes outside, only. Any choice of
+   stars gives the same result.
+5. Two classes of one star are compared directly: the keys that several of the star hold are numbered, the
+   most frequent first, the first of them make bit sets, and the few others are looked at only
+   where the bits leave it open. Links are added up per class as they are found. What is linked with
+   the star's centre is one component by that, so only links of other classes are written.
+   Of the other candidates, the whole global order is cut into fragments of about equal weight. Pairs are laid into blocks
    of a bounded number of classes; each (block, fragment) counts the partial overlaps of its pairs
    by itself, and the partial counts are summed per pair and compared with the threshold.
 6. Connected components follow from labels that are lowered along links until nothing changes.
@@ -46,6 +53,9 @@ RANK_AT = HASH_BITS + WORD_BITS
 #: Classes that share a block side, about; the global order is cut into 2**FRAGMENT_BITS fragments.
 BLOCK, FRAGMENT_BITS = 512, 2
 SALTS = 16
+#: A key that so many classes hold makes them a star, and a star has so many; classes of a star that share a
+#: block side, about; longs of a bit set that are compared in compiled code, and at most in all.
+LARGE, SIDE, WORDS, MOST_WORDS = 64, 512, 16, 256
 #: Of 100 keys of a set, so many more than the prefix of one common key asks for go into its head.
 EXTRA = 10
 #: What may be broadcast, as hashed rows of numbers.
@@ -166,25 +176,114 @@ def heads(reps: DataFrame, percent: int, folder: str) -> DataFrame:
     return common.table(both.select("rep", "n", "m", F.slice(F.col("keys.key"), F.lit(1), F.col("m") - F.col("least") + 1).alias("first")), folder, "heads")
 
 
+def stars(found: DataFrame, folder: str) -> DataFrame:
+    """rep, star for the classes of ``heads`` in large groups of alike ones."""
+    key = Window.partitionBy("key")
+    each = found.select("rep", F.explode("first").alias("key")).select("rep", F.min("rep").over(key).alias("lead"), F.count("*").over(key).alias("f"))
+    votes = each.where(F.col("f") >= LARGE).groupBy("rep", "lead").agg(F.count("*").alias("votes"))
+    led = common.table(votes.groupBy("rep").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead")), folder, "led")
+    for k in range(2):  # a lead that follows another takes its own along
+        above = _beside(led.select(F.col("rep").alias("lead"), F.col("lead").alias("next")), folder, f"above-{k}")
+        led = led.join(above, "lead", "left").select("rep", F.coalesce("next", "lead").alias("lead"))
+    led = common.table(led, folder, "led-on")
+    large = _beside(led.groupBy("lead").agg(F.count("*").alias("size")).where(F.col("size") >= LARGE).select("lead"), folder, "large")
+    return common.table(led.join(large, "lead").select("rep", F.xxhash64(F.lit("star"), "lead").alias("star")), folder, "stars")
+
+
 def candidates(found: DataFrame, percent: int) -> DataFrame:
-    """a, b, na, nb: pairs of classes of ``heads`` whose sizes and prefixes allow a link.
+    """a, b, na, nb: pairs of classes of ``heads``, with their ``star`` or null, that aren't of one star and whose
+    sizes and prefixes allow a link.
 
     Both heads together must share what a link takes beyond the longer rest. From a pair's first common
     key on there must be that many keys in both; at later common keys it may fail, since the
     first has named the pair."""
     small = lambda i: F.get("first", i).bitwiseAND(0x7FFFFFFF).cast("int")
     entry = F.transform("first", lambda key, i: F.struct(key.alias("key"), (F.col("m") - i).alias("left"), *[F.when(i >= p, small(i - p)).alias(f"p{p}") for p in range(1, 5)]))
-    entries = found.select("rep", "n", F.explode(entry).alias("e")).select("rep", "n", "e.*")
-    a, b = entries.alias("a"), entries.alias("b")
-    ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))
-    fits = F.col("a.n") * 100 >= F.col("b.n") * percent
+    entries = found.select("rep", "n", "star", F.explode(entry).alias("e")).select("rep", "n", "star", "e.*")
+    fits = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
     wanted = _ceil(F.col("a.n") + F.col("b.n"), percent, 100 + percent) - F.greatest(_rest(F.col("a.n"), percent), _rest(F.col("b.n"), percent))
     reach = F.least("a.left", "b.left") >= wanted
     named = F.lit(False)
     for p in range(1, 5):
         named = named | F.col(f"a.p{p}").isin(*[F.col(f"b.p{q}") for q in range(1, 5)])
-    pairs = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & ordered & fits & reach & ~F.coalesce(named, F.lit(False)))
-    return pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).distinct()
+    may = fits & reach & ~F.coalesce(named, F.lit(False))
+    out = lambda pairs: pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
+    # classes outside of stars with each other, and with those in stars
+    a, b = entries.where("star IS NULL").alias("a"), entries.alias("b")
+    ordered = F.col("b.star").isNotNull() | (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.rep") < F.col("b.rep")))
+    outside = a.hint("merge").join(b, (F.col("a.key") == F.col("b.key")) & ordered & may)
+    # stars with each other: a row for each key and star, so that no two of one star meet
+    held = entries.where("star IS NOT NULL").groupBy("key", "star").agg(F.collect_list(F.struct("rep", "n", "left", *[f"p{p}" for p in range(1, 5)])).alias("held"))
+    x, y = held.select("key", F.col("star").alias("sx"), F.col("held").alias("hx")), held.select("key", F.col("star").alias("sy"), F.col("held").alias("hy"))
+    between = x.hint("merge").join(y, "key").where("sx < sy").select(F.explode("hx").alias("a"), "hy").select("a", F.explode("hy").alias("b")).where(may)
+    return out(outside).unionByName(out(between)).distinct()
+
+
+def numbered(sets: DataFrame, folder: str) -> DataFrame:
+    """star, rep, n, members, bits, rest, near, sides, side for ``sets`` (star, rep, n, members, keys): the
+    numbers of the keys that several of the star hold, as bits and, of rare ones, as a list; ``near`` is the
+    larger, the less a set differs from the keys that most of the star hold."""
+    sizes = _beside(sets.groupBy("star").agg(F.count("*").alias("size")), folder, "sizes")
+    each = sets.select("star", "rep", F.explode("keys").alias("key"))
+    held = each.groupBy("star", "key").agg(F.count("*").alias("f")).where("f > 1").join(sizes, "star")
+    at = F.row_number().over(Window.partitionBy("star").orderBy(F.desc("f"), "key")) - 1
+    held = held.select("star", "key", at.alias("at"), (F.col("f") * 2 > F.col("size")).cast("int").alias("most"), (F.col("f") * 16 >= F.col("size")).alias("often"))
+    dense = (F.col("at") < 64 * WORDS) | (F.col("often") & (F.col("at") < 64 * MOST_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at").bitwiseAND(63))
+    # the numbers below the last dense one are dense, as they go by falling frequency; a rare one is a group by itself
+    words = each.join(held, ["star", "key"]).select("rep", "most", F.when(dense, F.shiftright("at", 6)).otherwise(-1 - F.col("at")).alias("word"), bit.alias("bit"))
+    words = words.groupBy("rep", "word").agg(F.bit_or("bit").alias("bits"), F.sum("most").alias("most"))
+    own = words.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.when(F.col("word") >= 0, F.struct("word", "bits")))).alias("m"), F.collect_list(F.when(F.col("word") < 0, F.col("word"))).alias("rest"), F.sum("most").alias("most"))
+    last = F.coalesce(F.array_max(F.map_keys("m")), F.lit(0))
+    bits = F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")))
+    none = F.array().cast("array<bigint>")
+    return (
+        sets.drop("keys").join(own.select("rep", "most", "rest", bits.alias("bits")), "rep", "left").join(sizes, "star")
+        .select("star", "rep", "n", "members", F.coalesce("bits", none).alias("bits"), F.coalesce("rest", F.array().cast("array<int>")).alias("rest"), (F.coalesce("most", F.lit(0)) * 2 - F.col("n")).alias("near"),
+                F.ceil(F.col("size") / SIDE).cast("int").alias("sides"))
+        .withColumn("side", F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int"))
+    )
+
+
+def _linked(pairs: DataFrame, percent: int, *keep: Column) -> DataFrame:
+    """``keep`` and linked for ``pairs`` of rows a, b of ``numbered``."""
+    both = F.lit(0)
+    for i in range(WORDS):  # plain expressions are compiled, lambdas aren't
+        both = both + F.coalesce(F.bit_count(F.get("a.bits", F.lit(i)).bitwiseAND(F.get("b.bits", F.lit(i)))), F.lit(0))
+    size = F.least(F.size("a.bits"), F.size("b.bits"))
+    tail = lambda c: F.slice(c, F.lit(WORDS + 1), F.greatest(size - WORDS, F.lit(0)))
+    more = F.aggregate(F.zip_with(tail("a.bits"), tail("b.bits"), lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda x, y: x + y)
+    both = both + F.when(size > WORDS, more).otherwise(F.lit(0))
+    least = _ceil(F.col("a.n") + F.col("b.n"), percent, 100 + percent)
+    # a column that is used more than once stays a column of its own
+    known = pairs.select(*keep, (least - both).alias("lack"), F.col("a.rest").alias("ra"), F.col("b.rest").alias("rb"))
+    lack = F.col("lack")
+    linked = F.when(lack <= 0, True).when(lack > F.least(F.size("ra"), F.size("rb")), False).otherwise(F.size(F.array_intersect("ra", "rb")) >= lack)
+    return known.withColumn("linked", linked)
+
+
+def inside(sets: DataFrame, percent: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """rep, others and a, b for ``sets`` (star, rep, n, members, keys): how many documents each class is linked
+    with inside its star, and links that connect what all those links do."""
+    rows = common.table(numbered(sets, folder), folder, "numbered")
+    centre = rows.select("star", F.struct("rep", "n", "bits", "rest").alias("b"), "near").groupBy("star").agg(F.max_by("b", F.struct("near", "b.rep")).alias("b"))
+    centre = common.table(centre, folder, "centres")
+    around = _linked(rows.select("star", F.struct("rep", "n", "bits", "rest").alias("a")).join(centre, "star"), percent, F.col("a.rep").alias("rep"), F.col("b.rep").alias("centre"))
+    around = common.table(around.where("linked OR rep = centre").select("rep", "centre"), folder, "around")
+    rows = rows.join(_beside(around.select("rep", F.lit(True).alias("central")), folder, "central"), "rep", "left")
+    rows = common.table(rows.withColumn("central", F.coalesce("central", F.lit(False))), folder, "inside")
+    every = F.sequence(F.lit(0), F.col("sides") - 1)
+    of = lambda df, name, i, j: df.select("star", i, j, F.struct("rep", "n", "members", "bits", "rest", "central").alias(name))
+
+    def met(left: DataFrame) -> DataFrame:
+        a, b = of(left, "a", F.col("side").alias("i"), F.explode(every).alias("j")), of(rows, "b", F.explode(every).alias("i"), F.col("side").alias("j"))
+        return a.hint("merge").join(b, ["star", "i", "j"]).where((F.col("a.rep") != F.col("b.rep")) & (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent))
+
+    others = _linked(met(rows), percent, F.col("a.rep").alias("rep"), F.col("b.members").alias("members"))
+    others = others.groupBy("rep").agg(F.sum(F.when(F.col("linked"), F.col("members")).otherwise(F.lit(0))).alias("others"))
+    rest = _linked(met(rows.where("NOT central")), percent, F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("b.central").alias("central"))
+    rest = rest.where(F.col("linked") & (F.col("central") | (F.col("a") < F.col("b")))).select("a", "b")
+    return common.table(others, folder, "others"), around.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).unionByName(rest)
 
 
 def edges(sets: DataFrame) -> list[int]:
@@ -252,11 +351,13 @@ def join(docs: DataFrame, *, percent: int = 70) -> DataFrame:
     rep = F.xxhash64("h1", "h2")  # repeated ids may name two classes, so classes have a name of their own
     several = _beside(ids.where("members > 1").select("h1", "h2", "first"), folder, "several")
     reps = rows.where("n > 0 AND doc_id IS NOT NULL").join(several, ["h1", "h2"], "left").where("first IS NULL OR doc_id = first")
-    pairs = common.table(candidates(heads(reps.select(rep.alias("rep"), "n", "head"), percent, folder), percent), folder, "pairs")
+    found_by = heads(reps.select(rep.alias("rep"), "n", "head"), percent, folder)
+    star = stars(found_by, folder)
+    pairs = common.table(candidates(found_by.join(star, "rep", "left"), percent), folder, "pairs")
     rows = common.table(rows.select("doc_id", "n", "h1", "h2"), folder, "rows")
     common.drop(folder, "classes", "several", "heads")  # heads of sets are the most of what is stored
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(star.select("rep")).distinct()
     texts = docs.join(_beside(ids.select(F.col("first").alias("doc_id"), rep.alias("rep")).join(needed, "rep"), folder, "needed"), "doc_id")
     again = keyed(shingles(texts.select(F.struct("doc_id", "rep").alias("doc_id"), "text"), words), found)
     # of the rows of a repeated id, that of the class
@@ -265,13 +366,18 @@ def join(docs: DataFrame, *, percent: int = 70) -> DataFrame:
     segments = again.select("rep", F.explode(cut(F.col("keys"), edges(again))).alias("s")).select("rep", "s.fragment", "s.seg")
     linked = overlaps(pairs, segments, folder).where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
     links = common.table(linked.select("a", "b"), folder, "linked")
-    common.drop(folder, "pairs", "needed", "sets", "members")  # the links are all that is left of them
-
     named = ids.select(rep.alias("v"), "first", "members")
-    label = components(links, folder)
+    starred = again.join(star, "rep").join(named.select(F.col("v").alias("rep"), "members"), "rep").dropDuplicates(["rep"])  # rows of a repeated id
+    counted, spanning = inside(starred.select("star", "rep", F.size("keys").alias("n"), "members", "keys"), percent, folder)
+    spanning = common.table(links.unionByName(spanning), folder, "spanning")
+    # the links and counts are all that is left of them
+    common.drop(folder, "pairs", "needed", "sets", "members", "numbered", "inside", "around", "central", "centres", "stars", "led", "led-on")
+
+    label = components(spanning, folder)
     roots = label.join(named, "v").groupBy("label").agg(F.min("first").alias("component"))
     around = links.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("o")), F.struct(F.col("b").alias("v"), F.col("a").alias("o")))).alias("x")).select("x.*")
-    others = around.join(named.select(F.col("v").alias("o"), "members"), "o").groupBy("v").agg(F.sum("members").alias("others"))
+    others = around.join(named.select(F.col("v").alias("o"), "members"), "o").select("v", F.col("members").alias("others")).unionByName(counted.select(F.col("rep").alias("v"), "others"))
+    others = others.groupBy("v").agg(F.sum("others").alias("others"))
     stats = (
         groups.withColumn("v", rep).join(others, "v", "left").join(label.join(roots, "label").select("v", "component"), "v", "left")
         .select("h1", "h2", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), F.coalesce("component", "first").alias("component"), "members", "first")

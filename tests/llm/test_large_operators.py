@@ -88,6 +88,58 @@ def test_jaccard_of_groups(spark, monkeypatch, seed, percent, broadcast):
     assert {tuple(r) for r in got.collect()} == wanted and sum(map(len, links.values())) > 30
 
 
+def components_by_definition(texts, percent=70):
+    """doc_id, n_shingles, n_similar, component_id, pair by pair."""
+    sets = {d: shingles(t) for d, t in texts}
+    links = {d: {e for e, b in sets.items() if e != d and a and b and 100 * len(a & b) >= percent * len(a | b)} for d, a in sets.items()}
+    found = set()
+    for d in sets:
+        seen, todo = {d}, [d]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        found.add((d, len(sets[d]), len(links[d]), min(seen)))
+    return found
+
+
+@pytest.mark.parametrize(("seed", "percent", "large"), [(5, 70, 2), (6, 50, 3), (7, 90, 2), (8, 70, 8)])
+def test_jaccard_in_stars(spark, monkeypatch, seed, percent, large):
+    for name, value in {"LARGE": large, "SIDE": 4, "WORDS": 1, "MOST_WORDS": 2, "SHINGLE_BUCKETS": 6, "WORD_BUCKETS": 5}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    written, table = {}, common.table
+    monkeypatch.setattr(common, "table", lambda df, folder, name: written.setdefault(name, table(df, folder, name)))
+    monkeypatch.setattr(common, "drop", lambda *names: None)
+    made = similar_texts(seed)
+    got = jaccard.join(spark.createDataFrame(made, "doc_id long, text string"), percent=percent)
+    assert {tuple(r) for r in got.collect()} == components_by_definition(made, percent)
+    assert written["stars"].count() >= 10 and written["around"].count() > 0
+
+
+def test_large_group_of_near_copies_makes_no_pairs(spark, monkeypatch):
+    rng, pairs = random.Random(9), []
+    table = common.table
+
+    def counted(df, folder, name):
+        out = table(df, folder, name)
+        if name == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "table", counted)
+    base = [f"w{i}" for i in range(150)]
+    made = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randint(1, 9)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        made.append((i, " ".join(w)))
+    got = jaccard.join(spark.createDataFrame(made, "doc_id long, text string"))
+    wanted = components_by_definition(made)
+    assert {tuple(r) for r in got.collect()} == wanted and sum(r[2] for r in wanted) > 10_000
+    assert sum(pairs) < 5 * len(made)  # not 160 * 159 / 2
+
+
 def test_one_of_each_group(docs, joined, empty):
     kept = jaccard.one_of_each_group(docs)
     assert kept.columns == docs.columns
