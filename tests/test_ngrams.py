@@ -226,3 +226,18 @@ def test_hexadecimal(spark, tables):
     counts = tables[2].wordlength_stats()
     text = Q.hexadecimal(counts)
     assert text.first() == ("0" * 15 + "1", "0" * 16) and Q.decimal(text, ["length", "frequency"]).collect() == counts.collect()
+
+
+def test_windows_and_tagged_texts_are_compiled(spark):
+    """Windows come from exploded starts, and a usual tagged text is read by one expression, not by lambdas for each."""
+    held = W.text_words(spark.createDataFrame([(0, "a b")], "doc_id long, text string"))
+    plan = W.windows(held, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "inline(" not in plan and "explode(CASE WHEN (size(a" in plan
+
+
+@pytest.mark.parametrize("odd", ["", "a b c d", "a\u00a0b c d", "<s>", "x NN y ", f"{LONG41}", f"a {LONG41}", f"{LONG40} NN a", f"{'é' * 14} NN a", "5 NN word", "ﬁn NN ﬁn", "Über NN -über", "Ŀ NN ŀ", ", , ,"])
+def test_tagged_texts_as_their_lines(spark, odd):
+    """The one expression gives what lines read one by one give."""
+    lines = ["Cat NN cat", odd, "Bär\tNN\tbär.", "the DT the"]
+    each = [w for line in lines for w in (words_of(spark, line + "\n<s>", pos=True)[0] or [])[:-1]]  # a tag has lines read one by one
+    assert words_of(spark, "\n".join(lines), pos=True) == [each]
