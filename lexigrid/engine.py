@@ -78,10 +78,11 @@ class NgramTable:
         words = W.columns(self.n)
         self.grams.repartitionByRange(*words).sortWithinPartitions(*words).write.mode("overwrite").parquet(path)
 
-    def save_index(self, path: str, order: tuple[int, ...]) -> None:
-        """The index by ``order``, stored likewise by its own columns."""
+    def save_index(self, path: str, order: tuple[int, ...], ranged: bool = False) -> None:
+        """The index by ``order``, stored likewise by its own columns; ``ranged``: the rows lie in ranges of them already."""
         words = [f"w{k}" for k in order]
-        W.permuted(self.grams, order).repartitionByRange(*words).sortWithinPartitions(*words).write.mode("overwrite").parquet(path)
+        rows = W.permuted(self.grams, order)
+        (rows if ranged else rows.repartitionByRange(*words)).sortWithinPartitions(*words).write.mode("overwrite").parquet(path)
 
 
 class NgramEngine:

@@ -17,7 +17,7 @@ from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import LIMITS
+from ..config import EDGE, LIMITS
 from ..engine import NgramTable
 from ..functions import patterns, permutations
 from ..operators import queries as Q
@@ -72,8 +72,10 @@ class Catalog:
         stored = NgramTable(self.spark.read.parquet(f"{root}/grams"), table.pos)
         orders = list(stored.orders(first, howmany)) if indexes else []
         for order in orders:
-            stored.save_index(f"{root}/by_{_name(order)}", order)
-        bits = {int(r.b): r.n for r in stored.grams.where("w0 <> '$'").groupBy(F.floor(F.log2("frequency")).alias("b")).agg(F.count("*").alias("n")).collect()}  # 63 rows at most
+            # in the order of their words the stored rows lie in ranges already, so this index needs no shuffle
+            stored.save_index(f"{root}/by_{_name(order)}", order, ranged=order == tuple(range(n)))
+        sums = stored.grams.groupBy(F.when(F.col("w0") != EDGE, F.floor(F.log2("frequency"))).alias("b")).agg(F.count("*").alias("n"), F.sum("frequency").alias("f")).collect()  # 64 rows at most
+        bits = {int(r.b): r.n for r in sums if r.b is not None}
         if top:
             Q.inverted(stored.grams, tuple(range(n))).write.parquet(f"{root}/by_frequency")
         for order in SUPPLEMENTS if table.pos else ():
@@ -81,7 +83,7 @@ class Catalog:
         for pattern in entropies:
             Q.entropy_sorted(Q.entropy_index(stored.grams, pattern), pattern).write.parquet(f"{root}/entropy_{_bits(pattern)}")
         entry = {
-            "version": VERSION, "n": n, "corpus": corpus, "pos": table.pos, "folder": folder, "numwords": stored.numwords(), "rows": stored.grams.count(),
+            "version": VERSION, "n": n, "corpus": corpus, "pos": table.pos, "folder": folder, "numwords": sum(r.f for r in sums if r.b is not None), "rows": sum(r.n for r in sums),
             "limits": vars(LIMITS), "indexes": [_name(o) for o in orders], "top": top, "frequency_bits": bits, "entropies": [_bits(p) for p in entropies],
         }
         self.fs.create_dir(self.base, recursive=True)

@@ -180,3 +180,16 @@ def test_a_cluster_needs_a_shared_folder():
             storage.scratch(Session, "x")
     Session.conf = {"spark.checkpoint.dir": "hdfs:///shared/"}
     assert storage.scratch(Session, "x").startswith("hdfs:///shared/x-")
+
+
+def test_index_in_the_order_of_words_needs_no_shuffle(spark, table, tmp_path, monkeypatch):
+    """The rows that add() has stored lie in ranges of their words, so only other orders are parted anew."""
+    parted, kind = [], type(table.grams)
+    usual = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, *by: parted.append(by) or usual(self, *by))
+    catalog = Catalog(spark, f"file://{tmp_path}/once")
+    catalog.add(table, "plain", top=False)
+    assert parted == [("w0", "w1"), ("w1", "w0")]  # grams, by_1_0
+    entry = catalog.entries()[2]
+    stored = spark.read.parquet(f"{tmp_path}/once/{entry['folder']}/by_0_1")
+    assert counted(stored) == counted(table.index((0, 1))) and (entry["rows"], entry["numwords"]) == (5, 5)
